@@ -97,3 +97,10 @@ def scoped_window_search(
         .drop("_raw")
     )
     return diversify_by_interval(fetched, k) if diversify else fetched
+
+
+def moment_search(questions: DataFrame, windows: DataFrame, k: int = 8) -> DataFrame:
+    """Best windows of one uploaded recording, merged to moments."""
+    from evidex.operators.ranking import merge_moments
+
+    return merge_moments(scoped_window_search(questions, windows, k, diversify=False))

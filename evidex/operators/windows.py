@@ -30,9 +30,9 @@ def action_rows(df: DataFrame, keys: list[str], text: str, classes: DataFrame) -
     zipped = F.arrays_zip(part(1).alias("a"), part(2).alias("s"), part(3).alias("e"))
     rows = df.select(*keys, F.posexplode(zipped).alias("pos", "_f")).select(
         *keys, "pos",
-        F.col("_f")["0"].alias("action_id"),
-        F.col("_f")["1"].cast("double").alias("start_s"),
-        F.col("_f")["2"].cast("double").alias("end_s"),
+        F.col("_f.a").alias("action_id"),
+        F.col("_f.s").cast("double").alias("start_s"),
+        F.col("_f.e").cast("double").alias("end_s"),
     )
     return rows.join(classes, "action_id", "left").withColumn("name", F.coalesce("name", "action_id"))
 
@@ -209,11 +209,12 @@ def forward_frame(targets: DataFrame, frames: DataFrame, key: str, width: float
 
 
 def spread_targets(df: DataFrame, start: str, end: str, count: int) -> DataFrame:
-    """``count`` evenly spaced times of an interval as rows, ends included."""
-    step = (F.col(end) - F.col(start)) / max(1, count - 1)
-    return df.withColumn(
-        "target_s", F.explode(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.col(start) + i * step))
+    """The centres of ``count`` equal parts of an interval as rows."""
+    length = F.col(end) - F.col(start)
+    centres = F.transform(
+        F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.col(start) + (i + F.lit(0.5)) * length / count
     )
+    return df.withColumn("target_s", F.explode(centres))
 
 
 def select_split(df: DataFrame, split: str = "all") -> DataFrame:
