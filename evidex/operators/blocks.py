@@ -37,8 +37,9 @@ class ScanSpec:
     its own ``q_ord``; with ``scoped`` only rows of equal ``scope`` meet (a null
     query scope means everywhere); with ``group`` the best rows are kept per value
     of that memory column; with ``poses`` both sides carry ``translation`` and
-    ``rotation`` and the pose errors are measured too; with ``random_seed`` the
-    order is a seeded pseudo-random one instead of the score.
+    ``rotation`` and kept rows get their pose errors; ``thresholds`` (name, metres,
+    degrees) count the rows within them and find the nearest pose, over all rows;
+    with ``random_seed`` the order is a seeded pseudo-random one, not the score.
     """
 
     k: int
@@ -59,7 +60,9 @@ class ScanSpec:
             parts.append("draw long")
         parts += [f"{name} {kind}" for name, kind in self.payload]
         if self.poses:
-            parts += ["translation_error_m double", "rotation_error_deg double", "nearest_pose_m double"]
+            parts += ["translation_error_m double", "rotation_error_deg double"]
+        if self.thresholds:
+            parts.append("nearest_pose_m double")
             parts += [f"{name}_count long" for name, _, _ in self.thresholds]
         return ", ".join(parts)
 
@@ -139,9 +142,10 @@ class BlockScan:
     def _chunk(self, best: _Best, part: slice, vectors: np.ndarray, memory: pd.DataFrame):
         spec = self.spec
         ords = memory["ord"].to_numpy(np.int64)
-        score = np.round(self.vectors[part] @ vectors.T, SCORE_DIGITS)
-        key = score
-        if spec.random_seed is not None:
+        if spec.random_seed is None:
+            score = key = np.round(self.vectors[part] @ vectors.T, SCORE_DIGITS)
+        else:
+            score = np.zeros((part.stop - part.start, len(memory)))
             a = (self.q_ord[part] % DRAW_MODULUS * DRAW_QUERY + spec.random_seed + 1) % DRAW_MODULUS
             b = (ords % DRAW_MODULUS * DRAW_ROW + spec.random_seed + 1) % DRAW_MODULUS
             key = -((a[:, None] * b[None, :]) % DRAW_MODULUS).astype(np.float64)
@@ -153,7 +157,7 @@ class BlockScan:
             everywhere = np.array([value is None or value != value for value in wanted])
             same = wanted[:, None] == memory["scope"].to_numpy(object)[None, :]
             allowed = (same | everywhere[:, None]) if allowed is None else allowed & (same | everywhere[:, None])
-        if spec.poses:
+        if spec.thresholds:
             self._count_poses(best, part, memory)
         masked = key if allowed is None else np.where(allowed, key, -np.inf)
         cut = best.cut[part]
@@ -206,7 +210,7 @@ class BlockScan:
                 if spec.random_seed is not None:
                     rows["draw"] = (-best.rows["key"]).astype(np.int64)
                 frames.append(pd.DataFrame(rows).assign(**({spec.group: group} if spec.group else {})))
-            if spec.poses:  # one row of totals per query, marked by a null ord
+            if spec.thresholds:  # one row of totals per query, marked by a null ord
                 totals = {"query_id": self.ids, "nearest_pose_m": best.nearest}
                 totals |= {f"{name}_count": values for name, values in best.counts.items()}
                 frames.append(pd.DataFrame(totals).assign(**({spec.group: group} if spec.group else {})))
