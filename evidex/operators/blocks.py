@@ -20,6 +20,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from evidex.operators.joins import fresh
+
 MAX_BROADCAST_ROWS = 16_384
 MAX_BROADCAST_BYTES = 128 * 1024 * 1024
 QUERY_BLOCK_ROWS = 4_096
@@ -267,7 +269,7 @@ def scan_blocks(
         scan.update(memory_rows)
         return scan.result()
 
-    return left.groupBy("qb", "mb").cogroup(right.groupBy("qb", "mb")).applyInPandas(meet, spec.schema())
+    return left.groupBy("qb", "mb").cogroup(fresh(right).groupBy("qb", "mb")).applyInPandas(meet, spec.schema())
 
 
 def best_rows(partial: DataFrame, spec: ScanSpec) -> DataFrame:

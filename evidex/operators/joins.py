@@ -7,6 +7,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from evidex.functions.intervals import overlaps
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """The same columns under new identities, so a table can meet itself."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def interval_join(
     left: DataFrame, right: DataFrame, key: str, left_ends: tuple[str, str], right_ends: tuple[str, str], width: float
 ) -> DataFrame:
