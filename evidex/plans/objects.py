@@ -309,7 +309,7 @@ def h18(spark, sf):
 _TOP = f"""{_ALL_PAIRS}, top as (select * from (select *, row_number() over (partition by eo, lo, object_class order by round(total, 9) desc, ea, la) as rank from sp) where rank <= 200)"""
 
 
-@query("h19_topk_per_group", f"with {_TOP} select eo as earlier_observation, lo as later_observation, object_class, rank, ed as earlier_detection_id, ld as later_detection_id, round(total, 6) as association_score from top", "sightings")
+@query("h19_topk_per_group", f"with {_TOP} select eo as earlier_observation, lo as later_observation, object_class, rank, ed as earlier_detection_id, ld as later_detection_id, round(round(total, 9), 6) as association_score from top", "sightings")
 def h19(spark, sf):
     pairs, _ = ob.associate(sightings(spark, sf))
     return pairs.select(
