@@ -136,7 +136,7 @@ def parse_poses(df: DataFrame, text: str) -> DataFrame:
 
 def read_poses(spark: SparkSession, path: str) -> DataFrame:
     """One pose per text file, with its path (and partition columns)."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", False).text(path)
+    files = spark.read.text(path, wholetext=True)
     return parse_poses(files.withColumn("path", F.input_file_name()), "value")
 
 
@@ -227,7 +227,7 @@ def read_multimodal(spark: SparkSession, path: str) -> DataFrame:
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """1-based line numbers of small manifest files (each file is one row here)."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\n")).alias("_n", "value")).select(
         "path", (F.col("_n") + 1).alias("line_no"), "value"
     )

@@ -59,13 +59,12 @@ def embed_windows(
     spark: SparkSession, windows: DataFrame, path: str, config: dict[str, object],
     make_encoder: Callable[[], Callable[[list[list[float]]], list[np.ndarray]]], shards: int = 64, resume: bool = False,
 ) -> DataFrame:
-    """Encode the windows of recordings that are not cached yet.
+    """Encode the windows that are not cached yet and return the whole cache.
 
-    ``windows``: ``window_id, video_id, timestamps_s``.  Work is spread by window,
-    not by recording, and stored by a hash shard.  A recording counts as done once
-    all its windows are stored, so an interrupted run resumes where it stopped.  The
-    encoder is made once per task; a window it fails on is kept as failed.  Returns
-    the whole cache.
+    ``windows``: ``window_id, video_id, timestamps_s``.  Work is spread by window, so
+    a long recording is many tasks, and stored by a hash shard; a resumed run skips
+    every stored window and tries failed ones again.  The encoder is made once per
+    task; a window it raises ``ValueError`` on is stored as failed.
     """
     check_config(spark, path, config, resume)
     rows = f"{path}/rows"
