@@ -36,8 +36,8 @@ class ScanSpec:
 
     ``queries`` needs ``query_id, q_vector`` and ``memory`` ``ord, vector`` plus
     the ``payload`` columns.  With ``exclude_ord`` a query never meets the row of
-    its own ``q_ord``; with ``scoped`` only rows of equal ``scope`` meet (a null
-    query scope means everywhere); with ``group`` the best rows are kept per value
+    its own ``q_ord``; with ``scoped`` only rows of equal ``scope`` meet (hashes;
+    a query with ``q_anywhere`` meets all); with ``group`` the best rows are kept per value
     of that memory column; with ``poses`` both sides carry ``translation`` and
     ``rotation`` and kept rows get their pose errors; ``thresholds`` (name, metres,
     degrees) count the rows within them and find the nearest pose, over all rows;
@@ -72,8 +72,20 @@ class ScanSpec:
         return [part.split(" ")[0] for part in self.schema().split(", ")]
 
 
-# Fixed values of the pseudo-random order: a prime modulus and two multipliers.
-DRAW_MODULUS, DRAW_QUERY, DRAW_ROW = 2_147_483_647, 48_271, 69_621
+# Fixed values of the pseudo-random order: a prime modulus and three multipliers.
+DRAW_MODULUS, DRAW_QUERY, DRAW_ROW, DRAW_SEED = 2_147_483_647, 48_271, 69_621, 742_938_285
+
+
+def draw_order(query: np.ndarray, row: np.ndarray, seed: int) -> np.ndarray:
+    """Seeded pseudo-random numbers of all (query, row) pairs.
+
+    The fifth power is a permutation modulo this prime, so two rows of a query
+    never draw the same number; every product stays below 2**62.
+    """
+    a = (query % DRAW_MODULUS * DRAW_QUERY + (seed + 1) * DRAW_SEED) % DRAW_MODULUS
+    x = (a[:, None] + (row % DRAW_MODULUS * DRAW_ROW % DRAW_MODULUS)[None, :]) % DRAW_MODULUS
+    square = x * x % DRAW_MODULUS
+    return square * square % DRAW_MODULUS * x % DRAW_MODULUS
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -113,7 +125,8 @@ class BlockScan:
         self.ids = queries["query_id"].to_numpy()
         self.vectors = _matrix(queries["q_vector"]) if len(queries) else np.zeros((0, 1))
         self.q_ord = queries["q_ord"].to_numpy(np.int64) if "q_ord" in queries else None
-        self.scope = queries["q_scope"].to_numpy(object) if spec.scoped else None
+        if spec.scoped:
+            self.scope, self.anywhere = queries["q_scope"].to_numpy(np.int64), queries["q_anywhere"].to_numpy(bool)
         if spec.poses and len(queries):
             self.translation = _matrix(queries["q_translation"])
             self.rotation = _matrix(queries["q_rotation"])
@@ -148,17 +161,14 @@ class BlockScan:
             score = key = np.round(self.vectors[part] @ vectors.T, SCORE_DIGITS)
         else:
             score = np.zeros((part.stop - part.start, len(memory)))
-            a = (self.q_ord[part] % DRAW_MODULUS * DRAW_QUERY + spec.random_seed + 1) % DRAW_MODULUS
-            b = (ords % DRAW_MODULUS * DRAW_ROW + spec.random_seed + 1) % DRAW_MODULUS
-            key = -((a[:, None] * b[None, :]) % DRAW_MODULUS).astype(np.float64)
+            key = -draw_order(self.q_ord[part], ords, spec.random_seed).astype(np.float64)
         allowed = None
         if spec.exclude_ord:
             allowed = self.q_ord[part][:, None] != ords[None, :]
         if spec.scoped:
-            wanted = self.scope[part]
-            everywhere = np.array([value is None or value != value for value in wanted])
-            same = wanted[:, None] == memory["scope"].to_numpy(object)[None, :]
-            allowed = (same | everywhere[:, None]) if allowed is None else allowed & (same | everywhere[:, None])
+            same = self.scope[part][:, None] == memory["scope"].to_numpy(np.int64)[None, :]
+            same |= self.anywhere[part][:, None]
+            allowed = same if allowed is None else allowed & same
         if spec.thresholds:
             self._count_poses(best, part, memory)
         masked = key if allowed is None else np.where(allowed, key, -np.inf)

@@ -46,9 +46,9 @@ def cosine_topk(
     left = normalize(queries, "vector", strict=True).withColumnRenamed("vector", "q_vector")
     keep = ["query_id", "q_vector"] + [c for c in ("q_ord",) if exclude_self]
     if scoped:  # compare scopes as numbers inside the blocks
-        left = left.withColumn("q_scope", F.when(F.col("q_scope").isNotNull(), F.xxhash64("q_scope")))
+        left = left.withColumn("q_anywhere", F.col("q_scope").isNull()).withColumn("q_scope", F.xxhash64("q_scope"))
         memory = memory.withColumn("scope", F.xxhash64("scope"))
-        keep.append("q_scope")
+        keep += ["q_scope", "q_anywhere"]
     ranked = best_rows(scan_blocks(left.select(*keep), memory, spec, max_broadcast_rows), spec)
     return ranked.withColumn("score", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("score"))))
 

@@ -15,10 +15,11 @@ from evidex.plans.relations import (
 _P = 2147483647
 _SCORED = f"""
 o as (select *, step as ord, embedding::double[] as v, list_transform(embedding::double[], lambda x: x / sqrt(list_dot_product(embedding::double[], embedding::double[]))) as u from observations),
-sc as (select q.observation_id as query_id, q.step as q_ord, m.ord, m.observation_id, m.sequence_id as target_sequence_id, round(list_dot_product(q.u, m.v), 9) as s,
+sc0 as (select q.observation_id as query_id, q.step as q_ord, m.ord, m.observation_id, m.sequence_id as target_sequence_id, round(list_dot_product(q.u, m.v), 9) as s,
    {distance_sql('q', 'm')} as d, {angle_sql('q', 'm')} as a,
-   (((q.step % {_P}) * 48271 + 43) % {_P}) * (((m.ord % {_P}) * 69621 + 43) % {_P}) % {_P} as draw
-  from o q join o m on q.split = 'query' and m.split = 'memory')"""
+   ((((q.step % {_P}) * 48271 + 43::bigint * 742938285) % {_P}) + (m.ord % {_P}) * 69621 % {_P}) % {_P} as x
+  from o q join o m on q.split = 'query' and m.split = 'memory'),
+sc as (select * exclude (x), (x * x % {_P}) * (x * x % {_P}) % {_P} * x % {_P} as draw from sc0)"""
 
 
 def _rows_sql(target: bool) -> str:
