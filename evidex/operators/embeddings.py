@@ -125,8 +125,7 @@ def model_guard(memory: DataFrame, queries: DataFrame) -> DataFrame:
     models = sides.groupBy("model_id", "model_revision").agg(
         F.array_join(F.sort_array(F.collect_set("side")), ",").alias("sides")
     )
-    total = models.agg(F.count("*").alias("models"))
-    return models.join(F.broadcast(total)).filter(F.col("models") > 1).drop("models")
+    return models.filter(models.agg(F.count("*")).scalar() > 1)
 
 
 Encoder = Callable[[list], np.ndarray]

@@ -287,9 +287,9 @@ def recall_summary(rows: DataFrame) -> DataFrame:
         F.coalesce(F.avg("duplicate_rate"), F.lit(0.0)).alias("duplicate_rate_mean"),
         F.sum(F.col("first_rank").isNull().cast("long")).alias("miss_count"),
     )
-    median = lambda name, width: exact_quantiles(rows, [], name, {f"{name}_median": 0.5}, width)
     for name, width in (("iou", 0.01), ("error_s", 0.05), ("normalized_error", 0.001)):
-        means = means.join(F.broadcast(median(name, width)), how="left")  # single rows
+        median = exact_quantiles(rows, [], name, {"median": 0.5}, width)
+        means = means.withColumn(f"{name}_median", median.scalar())
     return means
 
 
@@ -319,8 +319,8 @@ def query_page(rows: DataFrame, order: str, offset: int, limit: int, sequence: s
         tagged = tagged.filter(F.col("sequence_id") == sequence)
     if tag:
         tagged = tagged.filter(F.array_contains("tags", tag))
-    total = tagged.agg(F.count("*").alias("total"))
-    return tagged.orderBy(order).offset(offset).limit(limit).join(F.broadcast(total))
+    total = tagged.agg(F.count("*")).scalar()
+    return tagged.orderBy(order).offset(offset).limit(limit).withColumn("total", total)
 
 
 def artifact_lookup(questions: DataFrame, artifacts: dict[str, DataFrame]) -> DataFrame:

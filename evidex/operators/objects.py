@@ -34,9 +34,9 @@ def candidates(raw: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def _fold_best(rows: DataFrame, keys: list[str], overlap: float) -> DataFrame:
-    """Greedy suppression inside arrays of at most ``FOLD_ROWS`` boxes."""
-    item = F.struct("place", "row_id", "box")
-    packed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_items"))
+    """Greedy suppression inside arrays of at most ``FOLD_ROWS`` detections."""
+    rest = [c for c in rows.columns if c not in (*keys, "place")]
+    packed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("place", *rest))).alias("_items"))
 
     def step(kept: Column, row: Column) -> Column:
         clash = F.exists(kept, lambda k: box_iou(row["box"], k["box"]) > overlap)
@@ -47,7 +47,7 @@ def _fold_best(rows: DataFrame, keys: list[str], overlap: float) -> DataFrame:
 
 
 def class_nms(
-    detections: DataFrame, frame: str, order: list[Column], row_id: Column, overlap: float = NMS_IOU, fold_rows: int = FOLD_ROWS
+    detections: DataFrame, frame: str, order: list[Column], overlap: float = NMS_IOU, fold_rows: int = FOLD_ROWS
 ) -> DataFrame:
     """Keep the best boxes per frame: none may overlap a better kept one of its
     class, and at most twenty stay per frame in score order.
@@ -58,37 +58,42 @@ def class_nms(
     those alone fill the frame.  Ordinary tables need the first round only.
     """
     keys = [frame, "canonical_class"]
-    rows = detections.withColumn("row_id", row_id)
     by_score = Window.partitionBy(*keys).orderBy(*order)
-    best = rows.withColumn("place", F.row_number().over(by_score).cast("long")).filter(F.col("place") <= fold_rows)
+    best = detections.withColumn("place", F.row_number().over(by_score).cast("long")).filter(F.col("place") <= fold_rows)
     kept = _fold_best(best, keys, overlap)
-    large = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > fold_rows).select(*keys)
+    large = detections.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > fold_rows).select(*keys)
     if not large.isEmpty():
-        kept = cut_lineage(kept, "nms")
-        # Scores fall along the order, so their negated steps are rising buckets.
-        placed = ordinal(rows.join(large, keys, "left_semi"), keys, order, F.floor(F.col("score") * -4096), "place")
-        rest = cut_lineage(placed.filter(F.col("place") >= fold_rows).select(*keys, "place", "row_id", "box"), "nms_rest")
-        while True:
-            clash = F.exists("kept", lambda k: box_iou(F.col("box"), k["box"]) > overlap)
-            still = rest.join(kept, keys).filter((F.size("kept") < MAX_PER_FRAME) & ~clash).drop("kept")
-            rest = cut_lineage(still, "nms_rest")
-            if rest.isEmpty():
-                break
-            turn = F.row_number().over(Window.partitionBy(*keys).orderBy("place"))
-            batch = cut_lineage(rest.withColumn("_turn", turn).filter(F.col("_turn") <= fold_rows).drop("_turn"), "nms_batch")
-            more = _fold_best(batch, keys, overlap).withColumnRenamed("kept", "_more")
-            joined = F.when(F.col("_more").isNull(), F.col("kept")).otherwise(
-                F.slice(F.concat("kept", F.col("_more")), 1, MAX_PER_FRAME)
-            )
-            kept = cut_lineage(kept.join(more, keys, "left").withColumn("kept", joined).drop("_more"), "nms")
-            done = batch.groupBy(*keys).agg(F.max("place").alias("_done"))
-            rest = rest.join(done, keys, "left").filter(F.col("place") > F.coalesce("_done", F.lit(-1))).drop("_done")
-    chosen = kept.select(*keys, F.explode("kept").alias("_k")).select(*keys, F.col("_k.row_id").alias("row_id"))
-    survivors = rows.join(chosen, [*keys, "row_id"])
+        kept = _fold_large(detections, cut_lineage(kept, "nms"), large, keys, order, overlap, fold_rows)
+    survivors = kept.select(*keys, F.explode("kept").alias("_k")).select(*keys, "_k.*").drop("place")
     rank = F.row_number().over(Window.partitionBy(frame).orderBy(*order))
     return survivors.withColumn("rank", rank).filter(F.col("rank") <= MAX_PER_FRAME)
 
 
+def _fold_large(
+    detections: DataFrame, kept: DataFrame, large: DataFrame, keys: list[str], order: list[Column], overlap: float, fold_rows: int
+) -> DataFrame:
+    """Further rounds for the frames and classes with more than ``fold_rows`` boxes."""
+    # Scores fall along the order, so their negated steps are rising buckets.
+    placed = ordinal(detections.join(large, keys, "left_semi"), keys, order, F.floor(F.col("score") * -4096), "place")
+    rest = cut_lineage(placed.filter(F.col("place") >= fold_rows), "nms_rest")
+    while True:
+        clash = F.exists("kept", lambda k: box_iou(F.col("box"), k["box"]) > overlap)
+        still = rest.join(kept, keys).filter((F.size("kept") < MAX_PER_FRAME) & ~clash).drop("kept")
+        rest = cut_lineage(still, "nms_rest")
+        if rest.isEmpty():
+            return kept
+        turn = F.row_number().over(Window.partitionBy(*keys).orderBy("place"))
+        batch = cut_lineage(rest.withColumn("_turn", turn).filter(F.col("_turn") <= fold_rows).drop("_turn"), "nms_batch")
+        ordered = batch.select(*keys, "place", *[c for c in detections.columns if c not in keys])
+        more = _fold_best(ordered, keys, overlap).withColumnRenamed("kept", "_more")
+        joined = F.when(F.col("_more").isNull(), F.col("kept")).otherwise(
+            F.slice(F.concat("kept", F.col("_more")), 1, MAX_PER_FRAME)
+        )
+        kept = cut_lineage(kept.join(more, keys, "left").withColumn("kept", joined).drop("_more"), "nms")
+        done = batch.groupBy(*keys).agg(F.max("place").alias("_done"))
+        rest = rest.join(done, keys, "left").filter(F.col("place") > F.coalesce("_done", F.lit(-1))).drop("_done")
+
+
 def rejected_counts(raw: DataFrame, kept: DataFrame, frame: str) -> DataFrame:
     """Raw, kept and rejected detections per frame."""
     left = raw.groupBy(frame).agg(F.count("*").alias("raw_count"))
@@ -247,8 +252,8 @@ def rgbd_summary(frames: DataFrame, detections: DataFrame, evidence: DataFrame)
     made = evidence.agg(
         F.count("*").alias("evidence_count"), F.sum((F.col("point_count") > 0).cast("long")).alias("nonempty_evidence_count")
     )
-    one = lambda df, name: F.broadcast(df.agg(F.count("*").alias(name)))
-    return made.join(one(frames, "frame_count")).join(one(detections, "detection_count"))
+    size = lambda df: df.agg(F.count("*")).scalar()
+    return made.withColumn("frame_count", size(frames)).withColumn("detection_count", size(detections))
 
 
 def visit_comparison(evidence: DataFrame) -> DataFrame:
@@ -416,9 +421,8 @@ def visibility(prompts: DataFrame, detections: DataFrame, frames: DataFrame) ->
     linked = prompts.join(labels, match).select("prompt", "label")
     seen = detections.join(linked, "label").groupBy("prompt", "frame_id").agg(F.max("score").alias("s"))
     seen = seen.groupBy("prompt").agg(F.count("*").alias("frames_visible"), F.max("s").alias("max_score"))
-    total = frames.agg(F.count("*").alias("frame_count"))
     return (
-        prompts.join(seen, "prompt", "left").join(F.broadcast(total))
+        prompts.join(seen, "prompt", "left").withColumn("frame_count", frames.agg(F.count("*")).scalar())
         .withColumn("frames_visible", F.coalesce("frames_visible", F.lit(0).cast("long")))
         .withColumn("max_score", F.coalesce("max_score", F.lit(0.0)))
         .withColumn("status", visibility_status(F.col("frame_count"), F.col("frames_visible")))

@@ -225,8 +225,8 @@ def id_mismatches(requested: DataFrame, returned: DataFrame, keys: list[str]) ->
 def assignment_counts(assignments: DataFrame) -> DataFrame:
     """Rows and share per label."""
     counts = assignments.groupBy("label").agg(F.count("*").alias("frames"))
-    total = counts.agg(F.sum("frames").alias("_total"))
-    return counts.join(F.broadcast(total)).withColumn("share", F.col("frames") / F.col("_total")).drop("_total")
+    total = assignments.agg(F.count("*")).scalar()
+    return counts.withColumn("share", F.col("frames") / total)
 
 
 def used_zones(zones: DataFrame, assignments: DataFrame) -> DataFrame:

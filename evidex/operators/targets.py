@@ -13,10 +13,10 @@ def action_targets(windows: DataFrame, labels: DataFrame) -> DataFrame:
     The vocabulary is one row: a set of label names, whatever the data size.
     """
     vocabulary = labels.filter(F.coalesce("action_id", F.lit("")) != "").agg(
-        F.array_sort(F.collect_set("action_id")).alias("vocabulary")
+        F.array_sort(F.collect_set("action_id"))
     )
     ids = F.transform("actions", lambda a: a["action_id"])
-    return windows.join(F.broadcast(vocabulary)).withColumn(
+    return windows.withColumn("vocabulary", vocabulary.scalar()).withColumn(
         "action_targets",
         F.transform("vocabulary", lambda v: F.when(F.array_contains(ids, v), 1.0).otherwise(0.0)),
     )

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from evidex.functions.intervals import context_end, context_start, overlaps, window_timestamps
 from evidex.functions.text import window_text
 from evidex.operators.scan import Running, ordinal, running
+from evidex.session import shuffle_partitions
 
 WINDOW_S, STRIDE_S = 4.0, 2.0
 # Fixed value: one annotated action, "<id> <start> <end>".
@@ -57,12 +58,32 @@ def _window_id(video: Column, start: Column, end: Column) -> Column:
     return F.format_string("%s:%.2f-%.2f", video, start, end)
 
 
+WINDOWS_PER_BLOCK = 4096
+
+
+def _explode_windows(recordings: DataFrame, count: Column) -> DataFrame:
+    """One row per window number below ``count``.
+
+    Recordings are small rows that grow by orders of magnitude here, so they are cut
+    into blocks of windows first and the blocks are spread over the cluster: a
+    recording of any length is shared by many tasks.
+    """
+    blocks = recordings.withColumn("_count", count).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_count") - 1) / WINDOWS_PER_BLOCK)))
+    )
+    if not recordings.isStreaming:
+        blocks = blocks.repartition(shuffle_partitions(recordings.sparkSession), "video_id", "_block")
+    first = F.col("_block") * WINDOWS_PER_BLOCK
+    numbers = F.sequence(first, F.least(F.col("_count"), first + WINDOWS_PER_BLOCK) - 1)
+    return blocks.withColumn("window_no", F.explode(numbers)).drop("_count", "_block")
+
+
 def sliding_windows(
     recordings: DataFrame, window_s: float = WINDOW_S, stride_s: float = STRIDE_S
 ) -> DataFrame:
     """Windows every ``stride_s`` up to the first that touches the end.
 
-    The count is closed-form, so a recording explodes without a loop or shuffle.
+    The count is closed-form, so no loop over a recording is needed.
     """
     length = F.col("length_s")
     count = F.least(
@@ -71,8 +92,7 @@ def sliding_windows(
     )
     start = F.col("window_no") * F.lit(stride_s)
     return (
-        recordings.filter(length > 0)
-        .withColumn("window_no", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+        _explode_windows(recordings.filter(length > 0), count)
         .withColumn("start_s", F.round(start, 3))
         .withColumn("end_s", F.round(F.least(start + window_s, length), 3))
         .withColumn("window_id", _window_id(F.col("video_id"), F.col("start_s"), F.col("end_s")))
@@ -88,7 +108,7 @@ def windows_keep_tail(
     count = F.greatest(F.lit(1).cast("long"), F.ceil((length - 1e-6) / stride_s))
     start = F.col("window_no") * F.lit(stride_s)
     return (
-        recordings.withColumn("window_no", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+        _explode_windows(recordings, count)
         .withColumn("start_s", start)
         .withColumn("end_s", F.least(start + window_s, length))
         .withColumn("context_start_s", context_start("start_s", context_s))
@@ -99,6 +119,15 @@ def windows_keep_tail(
     )
 
 
+def _touched(actions: DataFrame, window_s: float, stride_s: float) -> DataFrame:
+    """One row per action and window number it may overlap."""
+    first = F.greatest(F.lit(0).cast("long"), F.floor((F.col("start_s") - window_s) / stride_s))
+    last = F.greatest(first, F.ceil(F.col("end_s") / stride_s))
+    return actions.select(
+        "video_id", "pos", *ACTION_FIELDS, F.explode(F.sequence(first, last)).alias("window_no")
+    )
+
+
 def window_action_overlap(
     windows: DataFrame, actions: DataFrame, window_s: float = WINDOW_S, stride_s: float = STRIDE_S
 ) -> DataFrame:
@@ -108,17 +137,11 @@ def window_action_overlap(
     equality ``(video_id, window_no)``: no range join, and a long recording
     spreads over the tasks.  The exact test stays as a residual filter.
     """
-    first = F.greatest(F.lit(0).cast("long"), F.floor((F.col("start_s") - window_s) / stride_s))
-    last = F.greatest(first, F.ceil(F.col("end_s") / stride_s))
-    touched = actions.select(
-        "video_id", "pos", "action_id", "name", "start_s", "end_s",
-        F.explode(F.sequence(first, last)).alias("window_no"),
-    )
     sides = windows.select(
         *[c for c in windows.columns if c not in ("start_s", "end_s")],
         F.col("start_s").alias("window_start_s"), F.col("end_s").alias("window_end_s"),
     )
-    return sides.join(touched, ["video_id", "window_no"]).filter(
+    return sides.join(_touched(actions, window_s, stride_s), ["video_id", "window_no"]).filter(
         overlaps("start_s", "end_s", "window_start_s", "window_end_s")
     )
 
@@ -130,13 +153,20 @@ def _strip_pos(packed: str) -> Column:
     return F.coalesce(F.transform(packed, strip), empty)
 
 
-def attach_actions(windows: DataFrame, overlapping: DataFrame) -> DataFrame:
-    """Windows with ``actions array<struct>`` in source order, empty when none."""
-    packed = overlapping.groupBy("video_id", "window_no").agg(
+def attach_actions(
+    windows: DataFrame, actions: DataFrame, window_s: float = WINDOW_S, stride_s: float = STRIDE_S
+) -> DataFrame:
+    """Windows with their overlapping ``actions array<struct>`` in source order.
+
+    Actions are packed by the window numbers they may touch and the exact test runs
+    inside the row, so the windows are read once.
+    """
+    packed = _touched(actions, window_s, stride_s).groupBy("video_id", "window_no").agg(
         F.sort_array(F.collect_list(F.struct("pos", *ACTION_FIELDS))).alias("_a")
     )
     joined = windows.join(packed, ["video_id", "window_no"], "left")
-    return joined.withColumn("actions", _strip_pos("_a")).drop("_a")
+    exact = F.filter("_a", lambda a: overlaps(a["start_s"], a["end_s"], F.col("start_s"), F.col("end_s")))
+    return joined.withColumn("_a", exact).withColumn("actions", _strip_pos("_a")).drop("_a")
 
 
 def frame_manifest(windows: DataFrame, frames: int = 16) -> DataFrame:

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidex.operators import evaluation as ev
-from evidex.operators.embeddings import normalize
 from evidex.plans.places import angle_sql, distance_sql
 from evidex.plans.registry import query
 from evidex.plans.relations import (
-    annotated_windows, observations, relation, table, window_actions, windows, with_vectors,
+    annotated_windows, observations, relation, vector_count, windows, with_vectors,
 )
 
 _P = 2147483647
@@ -148,11 +147,10 @@ def prompt_rows(spark, sf):
     rows = observations(spark, sf)
     zone = F.when(F.col("step") % 11 != 0, F.col("zone"))
     memory = rows.select(F.col("step").alias("ord"), "vector", zone.alias("zone"))
-    count = table(spark, sf, "embeddings").agg(F.count("*").alias("_n"))
     styles = F.explode(F.array(F.lit("name"), F.lit("landmarks"), F.lit("technician_question")))
-    zones = rows.select("zone").distinct().select("zone", styles.alias("style")).join(F.broadcast(count))
+    zones = rows.select("zone").distinct().select("zone", styles.alias("style"))
     number = F.substring("zone", 6, 10).cast("long")
-    prompts = with_vectors(zones.withColumn("vec_id", (number * 31 + F.length("style") * 7) % F.col("_n")), spark, sf)
+    prompts = with_vectors(zones.withColumn("vec_id", (number * 31 + F.length("style") * 7) % vector_count(spark, sf)), spark, sf)
     return ev.zone_prompt_rows(prompts.select(F.concat_ws(":", "zone", "style").alias("query_id"), "zone", "style", "vector"), memory)
 
 

@@ -73,8 +73,9 @@ def detections(spark, sf):
     """Kept detections with ids and normalised boxes."""
     found = ob.candidates(raw_detections(spark, sf), WIDTH, HEIGHT)
     order = [F.col("score").desc(), F.col("src_order"), F.col("l_partkey"), F.col("l_suppkey")]
-    kept = ob.class_nms(found, "frame_id", order, F.concat_ws(":", "src_order", "l_partkey", "l_suppkey"))
-    return ob.detection_ids(kept, WIDTH, HEIGHT)
+    kept = ob.class_nms(found, "frame_id", order)
+    row_id = F.concat_ws(":", "src_order", "l_partkey", "l_suppkey")
+    return ob.detection_ids(kept, WIDTH, HEIGHT).withColumn("row_id", row_id)
 
 
 @query(

@@ -8,7 +8,7 @@ from evidex.functions import text as tx
 from evidex.operators import lexical as lx, ranking as rk, search, windows as win
 from evidex.plans.registry import query
 from evidex.plans.relations import (
-    annotated_windows, observations, recordings, relation, table, windows, with_vectors,
+    annotated_windows, documents, observations, recordings, relation, table, vector_count, windows, with_vectors,
 )
 from evidex.plans.vectors import searchable_windows
 
@@ -28,9 +28,10 @@ kept as (select *, row_number() over (partition by query_id order by rank) as pl
 
 
 def questions(spark, sf):
-    count = table(spark, sf, "embeddings").agg(F.count("*").alias("_n"))
-    asked = relation(spark, sf, "recordings").select("video_id", "video_no").join(F.broadcast(count))
-    return with_vectors(asked.withColumn("vec_id", (F.col("video_no") * 7) % F.col("_n")), spark, sf).select(
+    asked = relation(spark, sf, "recordings").select(
+        "video_id", "video_no", ((F.col("video_no") * 7) % vector_count(spark, sf)).alias("vec_id")
+    )
+    return with_vectors(asked, spark, sf).select(
         F.concat(F.lit("ask-"), "video_id").alias("query_id"), "video_id", "video_no", F.col("vector").alias("q_vector"),
         F.lit(None).cast("array<string>").alias("action_names"),
     )
@@ -112,11 +113,9 @@ select query_id, row_number() over (partition by query_id order by score desc, i
 
 def _upload_windows(spark, sf):
     made = win.windows_keep_tail(recordings(spark, sf))
-    count = table(spark, sf, "embeddings").agg(F.count("*").alias("_n"))
     return with_vectors(
-        made.join(F.broadcast(count))
-        .withColumn("ord", F.col("video_no") * 1000000 + F.col("window_no"))
-        .withColumn("vec_id", (F.col("video_no") * 361 + F.col("window_no")) % F.col("_n"))
+        made.withColumn("ord", F.col("video_no") * 1000000 + F.col("window_no"))
+        .withColumn("vec_id", (F.col("video_no") * 361 + F.col("window_no")) % vector_count(spark, sf))
         .withColumn("action_names", F.array().cast("array<string>")),
         spark, sf,
     )
@@ -259,7 +258,7 @@ def d06_documents(spark, sf):
     asked = table(spark, sf, "benchmark").select(
         F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("query_id"), F.col("text").alias("question")
     )
-    rows = table(spark, sf, "documents").select(
+    rows = documents(spark, sf).select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("window_id"), F.col("source").alias("video_id"),
         F.array().cast("array<string>").alias("action_names"), F.col("text").alias("description"), F.array("source").alias("objects"),
     )
@@ -273,7 +272,7 @@ v as (select doc_id, w, {_variants_sql('w')} as x from t)
 select doc_id, len(w) as tokens, len(x) as variants, md5(array_to_string(list_sort(x), ' ')) as digest from v""",
 )
 def d07(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", tx.tokens(F.lower("text")).alias("w"))
+    rows = documents(spark, sf).select("doc_id", tx.tokens(F.lower("text")).alias("w"))
     made = rows.withColumn("x", tx.token_variants(F.col("w")))
     return made.select(
         "doc_id", F.size("w").alias("tokens"), F.size("x").alias("variants"), F.md5(F.array_join(F.array_sort("x"), " ")).alias("digest")

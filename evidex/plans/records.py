@@ -168,8 +168,8 @@ select doc_id, array_to_string(m, ',') as matched, len(m) = 0 as unsupported fro
 def i08(spark, sf):
     docs = table(spark, sf, "documents")
     toxic = docs.join(table(spark, sf, "labels").filter(F.col("toxic") == 1), "doc_id").select(F.col("lang").alias("x"))
-    vocabulary = docs.select(F.col("source").alias("x")).unionByName(toxic).agg(F.collect_set("x").alias("vocabulary"))
+    vocabulary = docs.select(F.col("source").alias("x")).unionByName(toxic).agg(F.collect_set("x")).scalar()
     returned = F.array(F.col("lang"), F.when(F.col("n_chars") % 2 == 0, "src1").otherwise("xx"))
-    rows = docs.select("doc_id", returned.alias("labels")).join(F.broadcast(vocabulary))
+    rows = docs.select("doc_id", returned.alias("labels")).withColumn("vocabulary", vocabulary)
     made = rec.whitelist_labels(rows, "labels", "vocabulary")
     return made.select("doc_id", F.array_join("matched", ",").alias("matched"), "unsupported")

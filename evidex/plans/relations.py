@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from evidex.session import spread
 
 SHARED: dict[str, str] = {
     # one "second" of a recording is one hour of the event's timestamp
@@ -153,6 +155,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts, one part per core at least: tokenising them is the work."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A shared relation as a lazy DataFrame over the parquet tables."""
     text = _TABLE.sub(lambda m: f"parquet.`{sf_dir}/{m.group(1)}.parquet`", SHARED[name])
@@ -163,9 +170,9 @@ def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relation(spark, sf_dir, "recordings").withColumn("objects", F.array("object_a", "object_b"))
 
 
-def vector_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row: the number of vectors."""
-    return table(spark, sf_dir, "embeddings").agg(F.count("*").alias("vectors"))
+def vector_count(spark: SparkSession, sf_dir: str) -> Column:
+    """The number of vectors as a scalar subquery."""
+    return table(spark, sf_dir, "embeddings").agg(F.count("*")).scalar()
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,11 +180,8 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidex.operators.windows import sliding_windows
 
     made = sliding_windows(recordings(spark, sf_dir))
-    return (
-        made.join(F.broadcast(vector_count(spark, sf_dir)))  # one row by construction
-        .withColumn("ord", F.col("video_no") * 1000000 + F.col("window_no"))
-        .withColumn("vec_id", (F.col("video_no") * 361 + F.col("window_no")) % F.col("vectors"))
-        .drop("vectors")
+    return made.withColumn("ord", F.col("video_no") * 1000000 + F.col("window_no")).withColumn(
+        "vec_id", (F.col("video_no") * 361 + F.col("window_no")) % vector_count(spark, sf_dir)
     )
 
 
@@ -191,7 +195,7 @@ def annotated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows with their overlapping actions as an array in source order."""
     from evidex.operators.windows import attach_actions
 
-    return attach_actions(windows(spark, sf_dir), window_actions(spark, sf_dir))
+    return attach_actions(windows(spark, sf_dir), relation(spark, sf_dir, "actions"))
 
 
 def with_vectors(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,7 +217,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detector output; ``det_order`` makes the source order total."""
-    return relation(spark, sf_dir, "raw_detections").withColumn(
+    """Detector output with its box; the part and supplier make the order total."""
+    return spread(relation(spark, sf_dir, "raw_detections")).withColumn(
         "box", F.array(*[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")])
     )

@@ -32,7 +32,8 @@ def a02(spark, sf):
     rows.agg(F.count("*").alias("observation_count")).withColumn("mode", F.lit("rgb")).coalesce(1).write.json(path)
     schema = T.StructType([T.StructField("observation_count", T.LongType()), T.StructField("mode", T.StringType())])
     manifest = rd.read_manifest(spark, path, schema)
-    return rows.groupBy("label").agg(F.count("*").alias("frames")).join(F.broadcast(manifest))
+    declared = lambda name: manifest.select(name).scalar().alias(name)
+    return rows.groupBy("label").agg(F.count("*").alias("frames")).select("*", declared("observation_count"), declared("mode"))
 
 
 @query(
@@ -257,7 +258,9 @@ def a15(spark, sf):
     sk.write_index(observations(spark, sf).select("observation_id", "split", "vector"), path, "clip", "r1")
     rows, meta = sk.read_index(spark, path)
     meta = meta.select(F.col("count").alias("declared"), F.col("embedding_dim").cast("long").alias("embedding_dim"), F.concat_ws("/", "model_id", "model_revision").alias("model"))
-    return rows.groupBy("split").agg(F.count("*").alias("rows")).join(F.broadcast(meta))
+    declared = lambda name: meta.select(name).scalar().alias(name)
+    counts = rows.groupBy("split").agg(F.count("*").alias("rows"))
+    return counts.select("*", declared("declared"), declared("embedding_dim"), declared("model"))
 
 
 def frame_encoder():

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from evidex.functions.vectors import norm
 from evidex.operators import embeddings as emb, search
 from evidex.plans.registry import query
-from evidex.plans.relations import relation, table, windows, with_vectors
+from evidex.plans.relations import documents, relation, table, vector_count, with_vectors
 
 DIM = 64
 
@@ -77,8 +77,8 @@ select label, declared, actual from d join a using (label) where declared <> act
 )
 def b04(spark, sf):
     rows = table(spark, sf, "embeddings")
-    total = rows.agg(F.floor(F.count("*") / 10).alias("declared"))
-    declared = rows.select("label").distinct().join(F.broadcast(total))  # one row
+    total = rows.agg(F.floor(F.count("*") / 10)).scalar()
+    declared = rows.select("label").distinct().withColumn("declared", total)
     return emb.count_contract(declared, rows, ["label"])
 
 
@@ -235,7 +235,7 @@ from documents d left join b using (doc_id) left join n using (doc_id) group by
 """,
 )
 def b12(spark, sf):
-    encoded = emb.batch_encode(table(spark, sf, "documents").select("doc_id", "text"), "text", hashed_token_encoder)
+    encoded = emb.batch_encode(documents(spark, sf).select("doc_id", "text"), "text", hashed_token_encoder)
     pick = lambda i: F.round(F.element_at("vector", i).cast("double"), 4)
     return encoded.select("doc_id", pick(1).alias("first"), pick(16).alias("last"))
 
@@ -280,15 +280,14 @@ def b14(spark, sf):
 
 def window_questions(spark, sf):
     """One question per recording: a vector and two action names."""
-    count = table(spark, sf, "embeddings").agg(F.count("*").alias("_n"))
     names = ["click", "view", "purchase", "signup", "error"]
     pick = lambda shift: F.concat(
         F.lit("Doing "), F.element_at(F.array(*[F.lit(n) for n in names]), ((F.col("video_no") + shift) % 5 + 1).cast("int"))
     )
-    asked = relation(spark, sf, "recordings").select("video_id", "video_no").join(F.broadcast(count))
-    return with_vectors(
-        asked.withColumn("vec_id", (F.col("video_no") * 7) % F.col("_n")), spark, sf
-    ).select(
+    asked = relation(spark, sf, "recordings").select(
+        "video_id", "video_no", ((F.col("video_no") * 7) % vector_count(spark, sf)).alias("vec_id")
+    )
+    return with_vectors(asked, spark, sf).select(
         F.concat(F.lit("ask-"), "video_id").alias("query_id"), "video_id", F.col("vector").alias("q_vector"),
         F.array(pick(0), pick(2)).alias("action_names"),
     )

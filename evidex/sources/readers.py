@@ -59,7 +59,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 
 def read_manifest(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """One JSON object as one row, to be broadcast as constants."""
+    """One JSON object as one row; its fields serve as scalar subqueries."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path).limit(1)
 
 
@@ -176,7 +176,7 @@ def image_problems(images: DataFrame, manifest: DataFrame) -> DataFrame:
     ``images``: the ``image`` source (struct ``image``); ``manifest``: one row ``width, height``.
     """
     i = F.col("image")
-    declared = images.join(F.broadcast(manifest.select(F.col("width").alias("_w"), F.col("height").alias("_h"))))
+    declared = images.withColumn("_w", manifest.select("width").scalar()).withColumn("_h", manifest.select("height").scalar())
     problem = (
         F.when((F.col("_w") < 1) | (F.col("_h") < 1), "contract").when(i["nChannels"] != 3, "mode")
         .when((i["width"] != F.col("_w")) | (i["height"] != F.col("_h")), "size")

@@ -107,7 +107,7 @@ def test_class_nms(spark, fold_rows):
             x, y = rng.randrange(0, 40), rng.randrange(0, 20)
             rows.append((f"f{f}", i, rng.choice(["chair", "box"]), rng.randrange(100) / 100, [float(x), float(y), x + 12.0, y + 12.0]))
     df = spark.createDataFrame(rows, "frame_id string, src int, canonical_class string, score double, box array<double>")
-    kept = ob.class_nms(df, "frame_id", [F.col("score").desc(), F.col("src")], F.col("src").cast("string"), fold_rows=fold_rows)
+    kept = ob.class_nms(df, "frame_id", [F.col("score").desc(), F.col("src")], fold_rows=fold_rows)
     got = {}
     for r in kept.collect():
         got.setdefault(r.frame_id, {})[r["rank"]] = r.src

@@ -50,7 +50,7 @@ def test_windows_count_and_actions(spark):
     actions = spark.createDataFrame(
         [("ABC12", 0, "c008", "Opening a door", 1.0, 2.0)], "video_id string, pos long, action_id string, name string, start_s double, end_s double"
     )
-    rows = win.attach_actions(made, win.window_action_overlap(made, actions, 2.0, 1.0)).orderBy("start_s").collect()
+    rows = win.attach_actions(made, actions, 2.0, 1.0).orderBy("start_s").collect()
     assert [(r.start_s, r.end_s, len(r.actions)) for r in rows] == [(0.0, 2.0, 1), (1.0, 3.0, 1), (2.0, 4.0, 0), (3.0, 5.0, 0)]
     assert rows[0].window_id == "ABC12:0.00-2.00"
     tail = win.windows_keep_tail(recording).orderBy("start_s").collect()
@@ -164,7 +164,7 @@ def test_nms_maps_clamps_and_rejects(spark):
         [("f", 0, "office chair", 0.9, [-1.0, 1.0, 9.0, 9.0]), ("f", 1, "desk chair", 0.7, [0.0, 1.0, 9.0, 9.0]), ("f", 2, "trash bin", 0.8, [10.0, 2.0, 15.0, 8.0]), ("f", 3, "plant", 0.99, [1.0, 1.0, 3.0, 3.0])],
         "frame_id string, src int, phrase string, score double, box array<double>",
     )
-    kept = ob.class_nms(ob.candidates(raw, 16, 10), "frame_id", [F.col("score").desc(), F.col("src")], F.col("src").cast("string"))
+    kept = ob.class_nms(ob.candidates(raw, 16, 10), "frame_id", [F.col("score").desc(), F.col("src")])
     rows = ob.detection_ids(kept, 16, 10).orderBy("rank").collect()
     assert [(r.canonical_class, r.detection_id) for r in rows] == [("chair", "f:det-01"), ("waste_bin", "f:det-02")]
     assert ob.rejected_counts(raw, kept, "frame_id").first().rejected_count == 2
