@@ -95,9 +95,9 @@ def _matrix(column: pd.Series) -> np.ndarray:
 class _Best:
     """Running best rows of every query against the memory rows seen so far."""
 
-    def __init__(self, queries: int, k: int):
-        self.k, self.queries = k, queries
-        self.cut = np.full(queries, -np.inf)
+    def __init__(self, queries: int, k: int, floor: np.ndarray):
+        self.k, self.queries, self.floor = k, queries, floor
+        self.cut = floor.copy()
         self.rows: dict[str, np.ndarray] = {}
         self.counts: dict[str, np.ndarray] = {}
         self.nearest = np.full(queries, np.inf)
@@ -116,7 +116,7 @@ class _Best:
         full = np.bincount(q, minlength=self.queries) >= self.k
         lowest = np.full(self.queries, np.inf)
         np.minimum.at(lowest, q, self.rows["key"])
-        self.cut = np.where(full, lowest, -np.inf)
+        self.cut = np.maximum(np.where(full, lowest, -np.inf), self.floor)
 
 
 class BlockScan:
@@ -125,6 +125,8 @@ class BlockScan:
         self.ids = queries["query_id"].to_numpy()
         self.vectors = _matrix(queries["q_vector"]) if len(queries) else np.zeros((0, 1))
         self.q_ord = queries["q_ord"].to_numpy(np.int64) if "q_ord" in queries else None
+        floor = queries["q_floor"].to_numpy(np.float64) if "q_floor" in queries else np.full(len(queries), -np.inf)
+        self.floor = np.where(np.isnan(floor), -np.inf, floor)
         if spec.scoped:
             self.scope, self.anywhere = queries["q_scope"].to_numpy(np.int64), queries["q_anywhere"].to_numpy(bool)
         if spec.poses and len(queries):
@@ -143,7 +145,7 @@ class BlockScan:
                 self._update(group, rows)
 
     def _update(self, group, memory: pd.DataFrame) -> None:
-        best = self.state.setdefault(group, _Best(len(self.ids), self.spec.k))
+        best = self.state.setdefault(group, _Best(len(self.ids), self.spec.k, self.floor))
         vectors = _matrix(memory["vector"])
         chunk = max(1, _CHUNK_CELLS // len(memory))
         found: list[dict[str, np.ndarray]] = []
@@ -253,6 +255,18 @@ def _blocks(df: DataFrame, id_column: str, own: str, own_count: int, other: str,
     )
 
 
+def with_floor(queries: DataFrame, sample: DataFrame, spec: ScanSpec, max_broadcast_rows: int) -> DataFrame:
+    """Queries with the ``k``-th best score of a sample of memory.
+
+    The true ``k``-th best is at least as good, so tasks may drop rows below it: a
+    scan of many tasks then returns about ``k`` rows over the sampled share per
+    query in all, not ``k`` per task, and the result stays exact.
+    """
+    found = best_rows(scan_blocks(queries, sample, spec, max_broadcast_rows), spec)
+    floors = found.filter(F.col("rank") == spec.k).select("query_id", F.col("score").alias("q_floor"))
+    return queries.join(floors, "query_id", "left")
+
+
 def scan_blocks(
     queries: DataFrame, memory: DataFrame, spec: ScanSpec, max_broadcast_rows: int = MAX_BROADCAST_ROWS
 ) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evidex.functions.poses import (
-    flatten_rotation, is_camera_pose, rotation_error_deg, translation_error_m, translation_of,
+    flatten_rotation, is_camera_pose, quaternion_angle_rad, rotation_error_deg, translation_error_m, translation_of,
 )
 from evidex.operators.joins import grid_neighbours
 from evidex.operators.scan import ordinal
@@ -130,12 +130,13 @@ def keyframes_by_motion(
         entries = wanted
 
 
-def keyframes_by_window(df: DataFrame, group: str, index: str, count: int) -> DataFrame:
+def keyframes_by_window(df: DataFrame, group: str, index: str, count: int, large_rows: int = 5_000_000) -> DataFrame:
     """One pose-diverse row per equal index window: the middle of the first window,
     then the row farthest from the previous pick (the lower index on a tie).
 
-    Rows stream through a task in order; its state is one pick, whatever the length
-    of the group.
+    Ordinary groups stream through a task in order, whose state is one pick.  Groups
+    of more than ``large_rows`` take one aggregate per window instead, so that all
+    tasks share a window's rows.
     """
     order = [F.col(index)]
     placed = ordinal(df, [group], order, F.floor(F.col(index) / 65536), "_place")
@@ -176,8 +177,34 @@ def keyframes_by_window(df: DataFrame, group: str, index: str, count: int) -> Da
         if best is not None:
             yield pd.DataFrame([(best[1][0], best[1][1], best[1][4])], columns=[group, index, "window_no"])
 
-    ordered = rows.repartition(group).sortWithinPartitions(group, "_place")
-    return ordered.mapInPandas(pick, f"{group} {id_type}, {index} long, window_no long")
+    schema = f"{group} {id_type}, {index} long, window_no long"
+    streamed = rows.filter(F.col("_n") <= large_rows).repartition(group).sortWithinPartitions(group, "_place")
+    picked = streamed.mapInPandas(pick, schema)
+    if sizes.filter(F.col("_n") > large_rows).isEmpty():
+        return picked
+    large = cut_lineage(rows.filter(F.col("_n") > large_rows), "windows")
+    return picked.unionByName(_pick_large(large, group, index, count))
+
+
+def _pick_large(rows: DataFrame, group: str, index: str, count: int) -> DataFrame:
+    """Keyframes of large groups, one window of all of them at a time."""
+    pose = F.struct(F.col(index).alias("i"), F.col("translation_m").alias("t"), F.col("quaternion_xyzw").alias("q"))
+    middle = F.floor(F.floor(F.col("_n") / count) / 2)
+    last = cut_lineage(
+        rows.filter((F.col("_window") == 0) & (F.col("_place") == middle)).select(group, pose.alias("_last")), "pick"
+    )
+    picks = last.select(group, F.col("_last.i").alias(index), F.lit(0).cast("long").alias("window_no"))
+    for window in range(1, count):
+        gap = F.greatest(
+            translation_error_m(F.col("translation_m"), F.col("_last.t")) / 0.10,
+            quaternion_angle_rad(F.col("quaternion_xyzw"), F.col("_last.q")) / math.radians(10),
+        )
+        ranked = rows.filter(F.col("_window") == window).join(last, group)
+        last = cut_lineage(
+            ranked.groupBy(group).agg(F.max_by(pose, F.struct(gap.alias("g"), (-F.col("_place")).alias("p"))).alias("_last")), "pick"
+        )
+        picks = picks.unionByName(last.select(group, F.col("_last.i").alias(index), F.lit(window).cast("long").alias("window_no")))
+    return picks
 
 
 def propagate_labels(records: DataFrame, representatives: DataFrame, metres: float = 0.5, degrees: float = 45.0) -> DataFrame:

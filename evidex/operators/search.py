@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from evidex.functions.vectors import dot
 from evidex.operators import blocks
-from evidex.operators.blocks import ScanSpec, best_rows, scan_blocks
+from evidex.operators.blocks import ScanSpec, best_rows, scan_blocks, with_floor
 from evidex.operators.embeddings import normalize
 
 _TYPES = {"string": "string", "bigint": "long", "int": "long", "double": "double", "boolean": "boolean"}
@@ -28,6 +28,7 @@ def cosine_topk(
     *,
     exclude_self: bool = False,
     scoped: bool = False,
+    presample: float = 0.0,
     max_broadcast_rows: int = blocks.MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """The ``k`` best rows per query by ``(-score, source order)``.
@@ -35,7 +36,8 @@ def cosine_topk(
     ``queries``: ``query_id, vector`` and, when used, ``q_ord`` (the query's own
     row) and ``q_scope`` (search only rows of that ``scope``; null = everywhere).
     ``memory``: ``ord, vector`` and any plain columns.  Filters act before ranking.
-    Scores are clipped to [-1, 1].
+    Scores are clipped to [-1, 1].  A ``presample`` share of memory is scanned first
+    to bound each query from below, which pays when memory is hundreds of tasks.
     """
     spec = ScanSpec(
         k=k,
@@ -49,7 +51,10 @@ def cosine_topk(
         left = left.withColumn("q_anywhere", F.col("q_scope").isNull()).withColumn("q_scope", F.xxhash64("q_scope"))
         memory = memory.withColumn("scope", F.xxhash64("scope"))
         keep += ["q_scope", "q_anywhere"]
-    ranked = best_rows(scan_blocks(left.select(*keep), memory, spec, max_broadcast_rows), spec)
+    left = left.select(*keep)
+    if presample:
+        left = with_floor(left, memory.sample(presample, seed=7), spec, max_broadcast_rows)
+    ranked = best_rows(scan_blocks(left, memory, spec, max_broadcast_rows), spec)
     return ranked.withColumn("score", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("score"))))
 
 

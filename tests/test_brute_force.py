@@ -144,8 +144,8 @@ def test_keyframes_by_motion(spark, chunk):
 
 
 @pytest.mark.parametrize("limit", [0, 10_000])
-@pytest.mark.parametrize("scoped", [False, True])
-def test_topk_by_broadcast_and_by_grid(spark, limit, scoped, monkeypatch):
+@pytest.mark.parametrize("scoped, presample", [(False, 0.0), (True, 0.0), (False, 0.3), (True, 0.5)])
+def test_topk_by_broadcast_and_by_grid(spark, limit, scoped, presample, monkeypatch):
     monkeypatch.setattr(blocks, "QUERY_BLOCK_ROWS", 16)
     monkeypatch.setattr(blocks, "MEMORY_BLOCK_ROWS", 50)
     rng = np.random.default_rng(1)
@@ -156,7 +156,7 @@ def test_topk_by_broadcast_and_by_grid(spark, limit, scoped, monkeypatch):
     memory = spark.createDataFrame([(i, v.tolist(), s) for i, (v, s) in enumerate(zip(vectors, scope))], "ord long, vector array<double>, scope string").repartition(5)
     queries = memory.select(F.col("ord").cast("string").alias("query_id"), F.col("ord").alias("q_ord"), "vector", F.when(F.col("ord") % 2 == 0, F.col("scope")).alias("q_scope"))
     got = {}
-    for r in search.cosine_topk(queries, memory, 6, exclude_self=True, scoped=scoped, max_broadcast_rows=limit).collect():
+    for r in search.cosine_topk(queries, memory, 6, exclude_self=True, scoped=scoped, presample=presample, max_broadcast_rows=limit).collect():
         got.setdefault(int(r.query_id), {})[r["rank"]] = r.ord
     scores = np.round(vectors @ vectors.T, 9)
     for q in range(220):

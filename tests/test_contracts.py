@@ -170,9 +170,10 @@ def test_nms_maps_clamps_and_rejects(spark):
     assert ob.rejected_counts(raw, kept, "frame_id").first().rejected_count == 2
 
 
-def test_keyframes_by_window(spark):
+@pytest.mark.parametrize("large_rows", [5, 5_000_000])
+def test_keyframes_by_window(spark, large_rows):
     rows = spark.createDataFrame([("o", i, [float(i), 0.0, 0.0], [0.0, 0.0, 0.0, 1.0]) for i in range(12)] + [("p", i, [0.0] * 3, [0.0, 0.0, 0.0, 1.0]) for i in range(3)], "g string, i long, translation_m array<double>, quaternion_xyzw array<double>")
-    got = {g: sorted(r.i for r in part) for g, part in _group(pl.keyframes_by_window(rows, "g", "i", 4).collect(), "g").items()}
+    got = {g: sorted(r.i for r in part) for g, part in _group(pl.keyframes_by_window(rows, "g", "i", 4, large_rows).collect(), "g").items()}
     assert got == {"o": [1, 5, 8, 11], "p": [0, 1, 2]}
 
 
