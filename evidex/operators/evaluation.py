@@ -36,7 +36,8 @@ def pose_retrievals(
     row the query's totals: relevant counts and nearest pose over all of memory.
 
     Both sides: ``observation_id, ord, vector, translation, rotation, sequence_id``.
-    One pass over memory scores vectors and poses block by block.
+    One pass over memory scores vectors and poses block by block; its result, ten
+    rows per query, is stored since rows, details and quantiles all read it.
     """
     spec = ScanSpec(
         k=max(CUTS), payload=(("observation_id", "string"),), poses=True, thresholds=THRESHOLDS,
@@ -49,7 +50,7 @@ def pose_retrievals(
     keys = ["query_id"] + (["target_sequence_id"] if per_target else [])
     whole = Window.partitionBy(*keys)
     order = Window.partitionBy(*keys).orderBy(F.col("ord").isNull(), F.col("score").desc(), "ord")
-    return (
+    ranked = (
         partial.withColumn("nearest_pose_translation_m", F.min("nearest_pose_m").over(whole))
         .withColumn("strict_relevant_count", F.sum("strict_count").over(whole))
         .withColumn("relaxed_relevant_count", F.sum("relaxed_count").over(whole))
@@ -57,6 +58,7 @@ def pose_retrievals(
         .filter(F.col("ord").isNotNull() & (F.col("rank") <= max(CUTS)))
         .drop("nearest_pose_m", "strict_count", "relaxed_count", "ord")
     )
+    return cut_lineage(ranked, "retrievals")
 
 
 def random_retrievals(

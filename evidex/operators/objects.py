@@ -235,6 +235,7 @@ def color_bin_link(pixels: DataFrame, points: DataFrame) -> DataFrame:
 
 def robust_extent(linked: DataFrame, detections: DataFrame, key: str) -> DataFrame:
     """Point count, median centre and 5-95 % extent per detection, null without points."""
+    linked = cut_lineage(linked.select(key, "x", "y", "z"), "linked")
     axes = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("v")) for a in "xyz"]))
     long = linked.select(key, axes.alias("_a")).select(key, F.col("_a.axis").alias("axis"), F.col("_a.v").alias("v"))
     stats = exact_quantiles(long, [key, "axis"], "v", {"low": 0.05, "mid": 0.5, "high": 0.95}, 1.0)
@@ -376,6 +377,7 @@ def associate(evidence: DataFrame, top: int = TOP_PER_GROUP, block_rows: int = 2
         return out
 
     scored = left.groupBy(*keys).cogroup(fresh(right).groupBy(*keys)).applyInPandas(meet, _PAIR_SCHEMA)
+    scored = cut_lineage(scored, "pairs")  # read for the pairs and for the totals
     group = ["earlier_observation", "later_observation", "object_class"]
     order = Window.partitionBy(*group).orderBy(F.col("association_score").desc(), "earlier_ord", "later_ord")
     pairs = (

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evidex.functions.intervals import clamp, context_end, context_start, interval_iou
+from evidex.session import cut_lineage
 
 MAX_PER_VIDEO, OVERLAP = 2, 0.25
 SEARCH_CANDIDATES, SEARCH_K = 100, 10
@@ -221,7 +222,8 @@ def diverse_search(queries: DataFrame, memory: DataFrame, display_k: int = SEARC
 
     if display_k not in (3, 5, 10):
         raise ValueError("display_k must be 3, 5 or 10")
-    shown = diversify_by_sequence(cosine_topk(queries, memory, SEARCH_CANDIDATES, exclude_self=exclude_self))
+    found = cosine_topk(queries, memory, SEARCH_CANDIDATES, exclude_self=exclude_self)
+    shown = cut_lineage(diversify_by_sequence(found), "shown")  # ten rows per query, read twice
     place = majority_zone(shown.select("query_id", F.col("display_rank").alias("rank"), "zone"))
     place = place.select(
         "query_id", F.col("zone").alias("likely_zone"), F.col("support_count").alias("likely_support"),

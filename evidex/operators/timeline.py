@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from evidex.functions.text import PROMPT_STOPWORDS, WORD_EDGES, LABEL_EDGES, strings, strip_edges
 from evidex.operators.joins import interval_join
 from evidex.operators.scan import Running, islands, ordinal, running
+from evidex.session import cut_lineage
 
 TIMELINE_GAP_S = 0.5
 BUCKET_S = 256.0
@@ -121,7 +122,8 @@ def timeline(overlapping: DataFrame, gap_s: float = TIMELINE_GAP_S) -> DataFrame
     """Events merged while the next starts within ``gap_s`` of the running end;
     labels in the order first seen."""
     order = [F.col("start_s"), F.col("end_s"), F.col("pos")]
-    marked = islands(timeline_events(overlapping), ["video_id"], "start_s", "end_s", order, gap_s, BUCKET_S)
+    events = cut_lineage(timeline_events(overlapping), "events")  # the islands read it several times
+    marked = islands(events, ["video_id"], "start_s", "end_s", order, gap_s, BUCKET_S)
     by_label = marked.groupBy("video_id", "island", "label").agg(
         F.min(F.struct("start_s", "end_s", "pos")).alias("first"),
         F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.count("*").alias("n"),

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from evidex.functions.intervals import context_end, context_start, overlaps, window_timestamps
 from evidex.functions.text import window_text
 from evidex.operators.scan import Running, ordinal, running
-from evidex.session import shuffle_partitions
+from evidex.session import cut_lineage, shuffle_partitions
 
 WINDOW_S, STRIDE_S = 4.0, 2.0
 # Fixed value: one annotated action, "<id> <start> <end>".
@@ -206,6 +206,7 @@ def nearest_frame(targets: DataFrame, frames: DataFrame, key: str, width: float
     both = targets.select(key, F.col("target_s").alias("t"), F.lit(None).cast("double").alias("f")).unionByName(
         frames.select(key, F.col("frame_s").alias("t"), F.col("frame_s").alias("f"))
     )
+    both = cut_lineage(both, "times")  # both directions read it
     bucket = F.floor(F.col("t") / width)
     ahead = F.when(F.col("f").isNull(), 1).otherwise(0)
     back = running(both, [key], [F.col("t"), ahead], bucket, [Running("before_s", "max", F.col("f"))])

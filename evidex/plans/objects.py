@@ -9,6 +9,7 @@ from evidex.functions.vectors import dot, l2_normalize
 from evidex.operators import objects as ob
 from evidex.plans.registry import query
 from evidex.plans.relations import raw_detections, relation, table
+from evidex.session import cut_lineage
 
 WIDTH, HEIGHT = 60, 40
 
@@ -75,7 +76,8 @@ def detections(spark, sf):
     order = [F.col("score").desc(), F.col("src_order"), F.col("l_partkey"), F.col("l_suppkey")]
     kept = ob.class_nms(found, "frame_id", order)
     row_id = F.concat_ws(":", "src_order", "l_partkey", "l_suppkey")
-    return ob.detection_ids(kept, WIDTH, HEIGHT).withColumn("row_id", row_id)
+    named = ob.detection_ids(kept, WIDTH, HEIGHT).withColumn("row_id", row_id)
+    return cut_lineage(named, "detections")  # a stored table for the queries on it
 
 
 @query(

@@ -377,7 +377,35 @@ def d10(spark, sf):
     return found.select("query_id", "rank", "window_id", "score", "retrieval_mode", "status", "reason")
 
 
-@query("d11_event_presentation")
+_PRESENT = """
+ins as (select f.query_id, f.rank, f.window_id, f.score, w.video_id, w.start_s as cs, w.end_s as ce, w.window_no, w.duration_s from found f join windows w using (window_id)),
+wa as (select window_id, list({'id': action_id, 'name': name, 's': start_s, 'e': end_s} order by pos) as a from window_actions group by 1),
+cand as (select i.*, case when window_no % 3 <> 0 then cs + 0.5 end as ps, case when window_no % 3 <> 0 then ce - 0.25 end as pe,
+   case when window_no % 3 <> 0 and ce - 0.25 > cs + 0.5 then cs + 0.5 else cs end as s, case when window_no % 3 <> 0 and ce - 0.25 > cs + 0.5 then ce - 0.25 else ce end as e,
+   coalesce(wa.a, []) as a, list_filter(coalesce(wa.a, []), lambda x, n: list_position(list_transform(wa.a, lambda y: y.id), x.id) = n) as ad from ins i left join wa using (window_id)),
+fold as (select distinct query_id, 0::bigint as step, []::struct(fr bigint, s double, e double, cs double, ce double, score double, a struct(id varchar, name varchar, s double, e double)[], ps double, pe double, dur double, video_id varchar)[] as ev from cand
+  union all
+  select c.query_id, c.step, case when c.m = 0 then list_append(ev, {'fr': c.rank, 's': c.s, 'e': c.e, 'cs': c.cs, 'ce': c.ce, 'score': c.score, 'a': c.a, 'ps': c.ps, 'pe': c.pe, 'dur': c.duration_s::double, 'video_id': c.video_id})
+    else list_transform(ev, lambda g, i: case when i = c.m then {'fr': g.fr, 's': least(g.s, c.s), 'e': greatest(g.e, c.e), 'cs': least(g.cs, c.cs), 'ce': greatest(g.ce, c.ce), 'score': greatest(g.score, c.score),
+        'a': list_concat(g.a, list_filter(c.ad, lambda x: not list_contains(list_transform(g.a, lambda y: y.id), x.id))), 'ps': g.ps, 'pe': g.pe, 'dur': g.dur, 'video_id': g.video_id} else g end) end
+  from (select f2.step + 1 as step, f2.ev, c2.*, coalesce(list_position(list_transform(f2.ev, lambda g: (case when greatest(g.e, c2.e) - least(g.s, c2.s) > 0
+         then greatest(0, least(g.e, c2.e) - greatest(g.s, c2.s)) / (greatest(g.e, c2.e) - least(g.s, c2.s)) else 0 end) >= 0.25 or list_has_any(list_transform(g.a, lambda y: y.id), list_transform(c2.ad, lambda y: y.id))), true), 0) as m
+       from fold f2 join cand c2 on c2.query_id = f2.query_id and c2.rank = f2.step + 1) c),
+evs as (select query_id, unnest(arg_max(ev, step)) as g from fold group by 1),
+er as (select *, row_number() over (partition by query_id order by g.score desc, g.fr) as event_rank from evs),
+prs as (select er.*, r.matched, coalesce(list_filter(g.a, lambda x: list_contains(r.matched, x.name))[1], g.a[1]) as p, list_transform(g.a, lambda x: x.name) as names from er join resolved r using (query_id) where event_rank <= 3),
+nm as (select *, coalesce(p.name, matched[1], 'Relevant event') as primary_action, greatest(0, least(coalesce(p.s, g.s), g.dur)) as a_from from prs),
+an as (select *, greatest(a_from, least(coalesce(p.e, g.e), g.dur)) as a_to from nm),
+st as (select *, greatest(0, least(coalesce(g.ps, a_from), g.dur)) as x_from from an),
+en as (select *, greatest(x_from, least(coalesce(g.pe, a_to), g.dur)) as x_to from st)
+select query_id, event_rank, printf('%s:%.3f-%.3f', g.video_id, g.s, g.e) as event_id, primary_action,
+  array_to_string(list_filter(names, lambda n, i: n <> primary_action and list_position(names, n) = i), ',') as context_actions,
+  round(a_from, 4) as annotation_start_s, round(a_to, 4) as annotation_end_s, round(x_from, 4) as action_start_s, round(x_to, 4) as action_end_s,
+  round(greatest(0, x_from - 2), 4) as context_start_s, round(greatest(greatest(0, x_from - 2), least(g.dur, x_to + 2)), 4) as context_end_s, g.cs as evidence_start_s, g.ce as evidence_end_s,
+  case when g.ps is not null then 'temporal_refinement' else 'dataset_annotation' end as interval_source from en"""
+
+
+@query("d11_event_presentation", f"with {_GUARDED}, {_PRESENT}", "recordings actions windows window_actions")
 def d11(spark, sf):
     """Guarded search, merged to events, with their three intervals."""
     found, resolved = guarded(spark, sf)
