@@ -77,11 +77,11 @@ def g02(spark, sf):
     )
 
 
-def _rates_sql(source: str, keys: str = "", group: str = "") -> str:
+def _rates_sql(source: str, keys: str = "", group: str = "", digits: int = 6) -> str:
     prefix = f"{keys}, " if keys else ""
     parts = " union all ".join(
-        f"""select {prefix}count(*) as rows, '{level}' as level, '{name}' as source, {k} as k, round(avg({level}_eligible::int), 6) as coverage, sum({level}_eligible::int) as eligible,
-   round(coalesce(sum(({p}{level}_hit_at_{k} and {level}_eligible)::int)::double / nullif(sum({level}_eligible::int), 0), 0), 6) as covered_rate, round(avg({p}{level}_hit_at_{k}::int), 6) as all_rate from {source} {group}"""
+        f"""select {prefix}count(*) as rows, '{level}' as level, '{name}' as source, {k} as k, round(avg({level}_eligible::int), {digits}) as coverage, sum({level}_eligible::int) as eligible,
+   round(coalesce(sum(({p}{level}_hit_at_{k} and {level}_eligible)::int)::double / nullif(sum({level}_eligible::int), 0), 0), {digits}) as covered_rate, round(avg({p}{level}_hit_at_{k}::int), {digits}) as all_rate from {source} {group}"""
         for level in ev.LEVELS for p, name in (("", "model"), ("random_", "random")) for k in ev.CUTS
     )
     return parts
@@ -204,14 +204,14 @@ def g11(spark, sf):
 
 @query(
     "g12_macro_pair",
-    f"""with {_rows_sql(True)}, pm as ({_rates_sql('rows_', _PAIR, 'group by source_sequence_id, target_sequence_id')})
-select level, source, k, round(avg(coverage), 5) as coverage, round(coalesce(avg(covered_rate) filter (where eligible > 0), 0), 5) as covered_rate, round(avg(all_rate), 5) as all_rate from pm group by 1, 2, 3""",
+    f"""with {_rows_sql(True)}, pm as ({_rates_sql('rows_', _PAIR, 'group by source_sequence_id, target_sequence_id', 15)})
+select level, source, k, round(avg(coverage), 7) as coverage, round(coalesce(avg(covered_rate) filter (where eligible > 0), 0), 7) as covered_rate, round(avg(all_rate), 7) as all_rate from pm group by 1, 2, 3""",
     "observations",
 )
 def g12(spark, sf):
     made = ev.macro_pair(pair_metrics(spark, sf).filter(F.col("grouping") == 0))
     for name in _RATES:
-        made = made.withColumn(name, F.round(name, 5))
+        made = made.withColumn(name, F.round(name, 7))
     return made
 
 
