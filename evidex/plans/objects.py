@@ -60,13 +60,13 @@ def h03(spark, sf):
 
 _NMS = f"""{_CANON},
 k as (select *, row_number() over (partition by frame_id, canonical_class order by score desc, src_order, l_partkey, l_suppkey) as place from c where canonical_class is not null and bx2 > bx1 and by2 > by1),
-fold as (select distinct frame_id, canonical_class, 0::bigint as step, []::struct(r varchar, x1 double, y1 double, x2 double, y2 double)[] as kept from k
+fold as (select distinct frame_id, canonical_class, 0::bigint as step, []::struct(r bigint, x1 double, y1 double, x2 double, y2 double)[] as kept from k
   union all select f.frame_id, f.canonical_class, f.step + 1, case when len(list_filter(f.kept, lambda g: {_iou('g', 'k').replace('k.x1', 'k.bx1').replace('k.y1', 'k.by1').replace('k.x2', 'k.bx2').replace('k.y2', 'k.by2')} > 0.5)) > 0 then f.kept
-     else list_append(f.kept, {{'r': k.row_id, 'x1': k.bx1, 'y1': k.by1, 'x2': k.bx2, 'y2': k.by2}}) end
+     else list_append(f.kept, {{'r': k.place, 'x1': k.bx1, 'y1': k.by1, 'x2': k.bx2, 'y2': k.by2}}) end
   from fold f join k on k.frame_id = f.frame_id and k.canonical_class = f.canonical_class and k.place = f.step + 1),
 last_ as (select frame_id, canonical_class, arg_max(kept, step) as kept from fold group by 1, 2),
-sel as (select frame_id, canonical_class, unnest(list_transform(kept, lambda g: g.r)) as row_id from last_),
-nms as (select * from (select k.*, row_number() over (partition by k.frame_id order by k.score desc, k.src_order, k.l_partkey, k.l_suppkey) as rank from k join sel using (frame_id, canonical_class, row_id)) where rank <= 20),
+sel as (select frame_id, canonical_class, unnest(list_transform(kept, lambda g: g.r)) as place from last_),
+nms as (select * from (select k.*, row_number() over (partition by k.frame_id order by k.score desc, k.src_order, k.l_partkey, k.l_suppkey) as rank from k join sel using (frame_id, canonical_class, place)) where rank <= 20),
 det as (select *, concat(frame_id, ':det-', lpad(rank::varchar, 2, '0')) as detection_id from nms)"""
 
 
