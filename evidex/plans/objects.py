@@ -45,7 +45,7 @@ def h02(spark, sf):
 
 @query(
     "h03_box_iou",
-    f"""with d as (select *, row_number() over (partition by frame_no order by src_order, l_partkey, l_suppkey) as n from raw_detections)
+    f"""with d as (select *, row_number() over (partition by frame_no order by src_order, l_partkey, l_suppkey, score, x1) as n from raw_detections)
 select a.frame_id, a.n, round({_iou('a', 'b')}, 6) as iou from d a join d b on b.frame_no = a.frame_no and b.n = a.n + 1""",
     "raw_detections",
 )
@@ -53,7 +53,7 @@ def h03(spark, sf):
     """Each detection beside the next one of its frame."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy("frame_no").orderBy("src_order", "l_partkey", "l_suppkey")
+    order = Window.partitionBy("frame_no").orderBy("src_order", "l_partkey", "l_suppkey", "score", "x1")
     rows = raw_detections(spark, sf).withColumn("n", F.row_number().over(order)).withColumn("next_box", F.lead("box").over(order))
     return rows.filter(F.col("next_box").isNotNull()).select("frame_id", "n", F.round(bx.box_iou(F.col("box"), F.col("next_box")), 6).alias("iou"))
 

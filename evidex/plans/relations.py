@@ -162,8 +162,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A shared relation as a lazy DataFrame over the parquet tables."""
-    text = _TABLE.sub(lambda m: f"parquet.`{sf_dir}/{m.group(1)}.parquet`", SHARED[name])
-    return spark.sql(re.sub(r"<<(\d+)>>", r"element_at(embedding,\1)", text))
+    text = re.sub(r"<<(\d+)>>", r"element_at(embedding,\1)", SHARED[name])
+    tables = {t: table(spark, sf_dir, t) for t in set(_TABLE.findall(text))}
+    if "lineitem" in tables:  # the widest scan: one part per core before the projection
+        tables["lineitem"] = spread(tables["lineitem"])
+    return spark.sql(text, **tables)
 
 
 def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,6 +221,6 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detector output with its box; the part and supplier make the order total."""
-    return spread(relation(spark, sf_dir, "raw_detections")).withColumn(
+    return relation(spark, sf_dir, "raw_detections").withColumn(
         "box", F.array(*[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")])
     )
