@@ -250,12 +250,12 @@ def a14(spark, sf):
 
 @query(
     "a15_index_sink",
-    "select split, count(*) as rows, (select count(*) from observations) as declared, 64 as embedding_dim, 'clip/r1' as model from observations group by 1",
+    "select split, count(*) as rows, (select count(*) from observations) as declared, 64 as embedding_dim, 'encoder/r1' as model from observations group by 1",
     "observations",
 )
 def a15(spark, sf):
     path = scratch_path(spark, "index")
-    sk.write_index(observations(spark, sf).select("observation_id", "split", "vector"), path, "clip", "r1")
+    sk.write_index(observations(spark, sf).select("observation_id", "split", "vector"), path, "encoder", "r1")
     rows, meta = sk.read_index(spark, path)
     meta = meta.select(F.col("count").alias("declared"), F.col("embedding_dim").cast("long").alias("embedding_dim"), F.concat_ws("/", "model_id", "model_revision").alias("model"))
     declared = lambda name: meta.select(name).scalar().alias(name)
@@ -283,7 +283,7 @@ def frame_encoder():
 def a16(spark, sf):
     """Cache one split, then resume with every recording."""
     made = windows(spark, sf).select("window_id", "video_id", "split", window_timestamps("start_s", "end_s", 8).alias("timestamps_s"))
-    path, config = scratch_path(spark, "cache"), {"model_id": "clip", "model_revision": "r1", "frames_per_window": 8}
+    path, config = scratch_path(spark, "cache"), {"model_id": "encoder", "model_revision": "r1", "frames_per_window": 8}
     sk.embed_windows(spark, made.filter(F.col("split") == "test"), path, config, frame_encoder)
     cache = sk.embed_windows(spark, made, path, config, frame_encoder, resume=True)
     latest = cache.groupBy("window_id", "video_id").agg(F.min("failed").alias("failed"), F.max(F.size("frame_embeddings")).alias("n"))

@@ -45,14 +45,14 @@ def test_window_times_and_text(spark):
 
 
 def test_windows_count_and_actions(spark):
-    recording = spark.createDataFrame([("ABC12", 5.0)], "video_id string, length_s double")
+    recording = spark.createDataFrame([("rec-a", 5.0)], "video_id string, length_s double")
     made = win.sliding_windows(recording, 2.0, 1.0)
     actions = spark.createDataFrame(
-        [("ABC12", 0, "c008", "Opening a door", 1.0, 2.0)], "video_id string, pos long, action_id string, name string, start_s double, end_s double"
+        [("rec-a", 0, "c008", "Opening a door", 1.0, 2.0)], "video_id string, pos long, action_id string, name string, start_s double, end_s double"
     )
     rows = win.attach_actions(made, actions, 2.0, 1.0).orderBy("start_s").collect()
     assert [(r.start_s, r.end_s, len(r.actions)) for r in rows] == [(0.0, 2.0, 1), (1.0, 3.0, 1), (2.0, 4.0, 0), (3.0, 5.0, 0)]
-    assert rows[0].window_id == "ABC12:0.00-2.00"
+    assert rows[0].window_id == "rec-a:0.00-2.00"
     tail = win.windows_keep_tail(recording).orderBy("start_s").collect()
     assert [(r.start_s, r.end_s) for r in tail] == [(0.0, 4.0), (2.0, 5.0), (4.0, 5.0)]
 
@@ -114,8 +114,8 @@ def test_place_agreement(spark):
 def test_lexical_search(spark):
     windows = spark.createDataFrame(
         [
-            ("ABC12:0-4", "ABC12", ["Opening a door"], ["door"], "A person opens a door."),
-            ("XYZ99:0-4", "XYZ99", ["Sitting at a table"], ["table"], "A person sits."),
+            ("rec-a:0-4", "rec-a", ["Opening a door"], ["door"], "A person opens a door."),
+            ("rec-b:0-4", "rec-b", ["Sitting at a table"], ["table"], "A person sits."),
         ],
         "window_id string, video_id string, action_names array<string>, objects array<string>, description string",
     )
@@ -124,7 +124,7 @@ def test_lexical_search(spark):
     )
     got = {(r.query_id, r.video_id): r.score for r in lx.lexical_search(asked, windows, 2).collect()}
     # "hen" of "When" stays a term, so it dilutes every score
-    assert got == {("door", "ABC12"): round((2 * 2 + 1 + 0.5) / 6, 4), ("sit", "XYZ99"): round(2 / 6, 4)}
+    assert got == {("door", "rec-a"): round((2 * 2 + 1 + 0.5) / 6, 4), ("sit", "rec-b"): round(2 / 6, 4)}
 
 
 def test_search_contracts(spark):
