@@ -196,13 +196,16 @@ def mean_pool_array(frames: Column) -> Column:
     return F.transform(total, lambda x: x / count)
 
 
-def neighbour_context(df: DataFrame, episode: str, step: str, action: str) -> DataFrame:
+def neighbour_context(df: DataFrame, episode: str, step: str, action: str, order: str | None = None) -> DataFrame:
     """Actions at the steps before, at and after each row of the same episode.
 
     Every row is offered to its three target steps, so the work is keyed by
-    ``(episode, step)`` and a long episode spreads over all tasks.
+    ``(episode, step)`` and a long episode spreads over all tasks.  Where a step may
+    occur more than once, ``order`` names the source order and the last row counts.
     """
     usable = df.filter(F.col(episode).isNotNull() & F.col(step).isNotNull())
+    if order:
+        usable = usable.groupBy(episode, step).agg(F.max_by(action, order).alias(action))
     offers = usable.select(
         episode, F.explode(F.sequence(F.col(step) - 1, F.col(step) + 1)).alias("_target"), step, action
     )

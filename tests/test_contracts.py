@@ -143,6 +143,9 @@ def test_neighbour_steps(spark):
     rows = spark.createDataFrame([("e", 0, None), ("e", 1, "go"), ("e", 2, "turn"), ("e", 5, "stop")], "ep string, step long, action string")
     got = {r.step: [(n.step, n.action) for n in r.nearby] for r in emb.neighbour_context(rows, "ep", "step", "action").collect()}
     assert got == {0: [(0, None), (1, "go")], 1: [(0, None), (1, "go"), (2, "turn")], 2: [(1, "go"), (2, "turn")], 5: [(5, "stop")]}
+    twice = spark.createDataFrame([("e", 0, "old", 1), ("e", 0, "new", 2), ("e", 1, "go", 3)], "ep string, step long, action string, n long")
+    got = {r.step: [n.action for n in r.nearby] for r in emb.neighbour_context(twice, "ep", "step", "action", "n").collect()}
+    assert got == {0: ["new", "go"], 1: ["new", "go"]}
 
 
 def test_identical_vectors_are_a_violation(spark):
