@@ -7,8 +7,10 @@ back as the next one's ``docs``.
 
 from __future__ import annotations
 
-from evidex.llm import quality, simhash
-from evidex.llm.common import table
+from pyspark.sql import functions as F
+
+from evidex.llm import bpe, mixing, quality, secrets, simhash
+from evidex.llm.common import table, tokenizer_dir
 from evidex.session import cut_lineage
 
 
@@ -27,9 +29,30 @@ def drop_near_copies(spark, docs, sf_dir):
     return first.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
+def redact_secrets(spark, docs, sf_dir):
+    """Credentials in the texts give way to a mark; every row stays."""
+    redacted = secrets.redact(docs)
+    return redacted.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def mix_sources(spark, docs, sf_dir):
+    """Each document as many times (0 to 3) as the mix of its source takes it."""
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark, docs, sf_dir):
+    """doc_id, n_tokens, digests, ids and decoded text of every row."""
+    return bpe.encode_documents(docs, f"{tokenizer_dir()}/word_bpe_49k.json", full=True).select(
+        "doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"
+    )
+
+
 STAGES = [
     ("quality classifier", keep_quality),
     ("near copies", drop_near_copies),
+    ("secrets", redact_secrets),
+    ("mix", mix_sources),
+    ("bpe", encode),
 ]
 ORACLE_SQL = None  # the classifier has no SQL form; tests/llm holds run() against plain Python
 
