@@ -7,7 +7,7 @@ tokenizer, and its ids go back to the chunks of documents that hold it, where th
 position.  Ids become pieces through the vocabulary's id-to-piece table, whose size is fixed (one
 row per id), so it is sent to every task.
 
-Rows between the steps are blocks: compressed word numbers of up to 64 documents, or the words of
+Rows between the steps are blocks: compressed word numbers of up to 512 documents, or the words of
 one chunk that share a hash bucket.  A chunk is what one task reads, at most ``CHUNK_WORDS`` words
 (one longer text is a chunk of its own), so every step works in bounded memory.
 """
@@ -29,7 +29,7 @@ from pyspark.sql.types import ArrayType, StructField, StructType
 from evidex.session import shuffle_partitions
 
 CHUNK_WORDS, CHUNK_DISTINCT = 6_000_000, 1_200_000
-BLOCK_DOCS, BLOCK_WORDS = 64, 100_000
+BLOCK_DOCS, BLOCK_WORDS = 512, 600_000
 BLOCK_FIELDS = "chunk long, bucket int, home long, payload binary"
 
 
@@ -53,7 +53,7 @@ def pack(*arrays: np.ndarray, tail: bytes = b"") -> bytes:
     """Arrays (uint32, as byte planes) and a tail in one compressed value."""
     head = np.array([len(arrays), *map(len, arrays)], "<u4").tobytes()
     planes = [np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(planes) + tail)
+    return zstandard.ZstdCompressor(level=6).compress(head + b"".join(planes) + tail)
 
 
 def unpack(payload: bytes) -> tuple[list[np.ndarray], bytes]:
@@ -87,12 +87,16 @@ class Chunk:
         return self.words >= CHUNK_WORDS or len(self.number) >= CHUNK_DISTINCT
 
     def blocks(self, chunk: int, buckets: int):
-        """(bucket or None, doc ids or None, payload); frequent words get small numbers."""
+        """(bucket or None, doc ids or None, payload); frequent words get small numbers.
+
+        Words that occur once come last, in the order of the text, so in a document they are all
+        written as 0 and counted on from the block's first."""
         count = np.zeros(len(self.number), np.int64)
         for _, ids in self.docs:
             count += np.bincount(ids, minlength=len(count))
         rank = np.empty(len(count), np.int64)
         rank[np.argsort(-count, kind="stable")] = np.arange(len(count))
+        repeated = next_single = int((count > 1).sum())
         at = 0
         while at < len(self.docs):
             end, size = at, 0
@@ -101,7 +105,10 @@ class Chunk:
                 end += 1
             some = self.docs[at:end]
             lengths = np.array([len(ids) for _, ids in some])
-            yield None, [d for d, _ in some], pack(lengths, rank[np.concatenate([ids for _, ids in some])])
+            ranks = rank[np.concatenate([ids for _, ids in some])]
+            single = ranks >= repeated
+            yield None, [d for d, _ in some], pack(lengths, np.array([next_single]), np.where(single, 0, ranks + 1))
+            next_single += int(single.sum())
             at = end
         split: dict[int, list[tuple[bytes, int]]] = {}
         for word, i in self.number.items():
@@ -204,7 +211,10 @@ class Assembler:
             self.chunk, self.parts, self.ready = chunk, [], False
         if not self.ready:
             self._settle()
-        (lengths, ranks), _ = unpack(payload)
+        (lengths, first, ranks), _ = unpack(payload)
+        single = ranks == 0
+        ranks -= 1
+        ranks[single] = first[0] + np.arange(single.sum())
         at = 0
         for n in lengths.tolist():
             own = ranks[at : at + n]
