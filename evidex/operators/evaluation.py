@@ -264,7 +264,7 @@ def temporal_rows(queries: DataFrame, results: DataFrame, labels: DataFrame) ->
     )
     lead = F.get("_results", F.lit(0))
     repeats = F.size(
-        F.filter(F.slice("_results", 2, 1000), lambda r: interval_iou(lead["r_start"], lead["r_end"], r["r_start"], r["r_end"]) > 0)
+        F.filter(F.slice("_results", F.lit(2), F.greatest(F.size("_results"), F.lit(0))), lambda r: interval_iou(lead["r_start"], lead["r_end"], r["r_start"], r["r_end"]) > 0)
     ) / F.greatest(F.lit(1), F.size("_results") - 1)
     hit = F.col("_first").isNotNull()
     return judged.select(
@@ -283,7 +283,7 @@ def recall_summary(rows: DataFrame) -> DataFrame:
     rows = cut_lineage(rows.drop("top_results"), "judged")
     means = rows.agg(
         F.count("*").alias("query_count"),
-        *[F.avg((F.coalesce("first_rank", F.lit(1_000_000)) <= k).cast("double")).alias(f"recall_at_{k}") for k in CUTS],
+        *[F.avg(F.coalesce(F.col("first_rank") <= k, F.lit(False)).cast("double")).alias(f"recall_at_{k}") for k in CUTS],
         F.coalesce(F.avg("iou"), F.lit(0.0)).alias("iou_mean"), F.avg("error_s").alias("error_mean_s"),
         F.avg("normalized_error").alias("normalized_error_mean"),
         F.coalesce(F.avg("duplicate_rate"), F.lit(0.0)).alias("duplicate_rate_mean"),

@@ -10,6 +10,7 @@ from evidex.functions.boxes import (
     area, association_status, box_iou, canonical_class, clamp_box, evidence_quality, mask_warnings, movement_status,
     normalized_box, visibility_status,
 )
+from evidex.functions.text import normalise_label
 from evidex.functions.vectors import l2_normalize
 from evidex.operators.joins import fresh
 from evidex.operators.quantiles import exact_quantiles
@@ -18,7 +19,6 @@ from evidex.session import cut_lineage
 
 NMS_IOU, MAX_PER_FRAME = 0.50, 20
 FOLD_ROWS = 512  # best boxes of one frame and class folded per round
-CLASSES = ("chair", "waste_bin", "box")
 TOP_PER_GROUP = 200
 MASK_SAMPLE = 2048
 HIGH_CONFIDENCE = 0.35
@@ -405,22 +405,35 @@ def pair_review(pairs: DataFrame, detections: DataFrame, judgments: DataFrame, o
 
 
 def best_per_label(detections: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Highest-score detection per key; the first of equals in the numeric ``order``."""
+    """Highest-score detection per key; the first of equals in the numeric ``order``.  A key
+    ``label`` is normalised first."""
+    if "label" in keys:
+        detections = detections.withColumn("label", normalise_label(F.col("label")))
     columns = [c for c in detections.columns if c not in keys]
     first = F.struct("score", *[(-c).alias(f"o{i}") for i, c in enumerate(order)])
     best = detections.groupBy(*keys).agg(F.max_by(F.struct(*columns), first).alias("_b"))
     return best.select(*keys, "_b.*")
 
 
+def substrings(text: Column) -> Column:
+    """All distinct substrings of a short name."""
+    size = F.length(text)
+    starts = F.sequence(F.lit(1), F.greatest(size, F.lit(1)))
+    return F.array_distinct(F.flatten(F.transform(starts, lambda a: F.transform(F.sequence(a, F.greatest(size, a)), lambda z: F.substring(text, a, z - a + 1)))))
+
+
 def visibility(prompts: DataFrame, detections: DataFrame, frames: DataFrame) -> DataFrame:
     """Per prompt: frames that show a matching label, best score and status.
 
-    Labels are reduced to distinct values before the substring match, so the theta
-    join sees names, not detections.
+    Labels and prompts are normalised and reduced to distinct values.  One holds the other when it
+    is a substring of it, so each side is joined by equality with the other's substrings.
     """
+    detections = detections.withColumn("label", normalise_label(F.col("label")))
+    prompts = prompts.select(normalise_label(F.col("prompt")).alias("prompt")).distinct()
     labels = detections.select("label").distinct()
-    match = F.contains(F.col("label"), F.col("prompt")) | F.contains(F.col("prompt"), F.col("label"))
-    linked = prompts.join(labels, match).select("prompt", "label")
+    inside = prompts.join(labels.select("label", F.explode(substrings(F.col("label"))).alias("prompt")), "prompt")
+    around = prompts.select("prompt", F.explode(substrings(F.col("prompt"))).alias("label")).join(labels, "label")
+    linked = inside.select("prompt", "label").unionByName(around.select("prompt", "label")).distinct()
     seen = detections.join(linked, "label").groupBy("prompt", "frame_id").agg(F.max("score").alias("s"))
     seen = seen.groupBy("prompt").agg(F.count("*").alias("frames_visible"), F.max("s").alias("max_score"))
     return (

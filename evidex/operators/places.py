@@ -130,60 +130,25 @@ def keyframes_by_motion(
         entries = wanted
 
 
-def keyframes_by_window(df: DataFrame, group: str, index: str, count: int, large_rows: int = 5_000_000) -> DataFrame:
+def keyframes_by_window(df: DataFrame, group: str, index: str, count: int) -> DataFrame:
     """One pose-diverse row per equal index window: the middle of the first window,
     then the row farthest from the previous pick (the lower index on a tie).
 
-    Ordinary groups stream through a task in order, whose state is one pick.  Groups
-    of more than ``large_rows`` take one aggregate per window instead, so that all
-    tasks share a window's rows.
+    One aggregate per window over all groups, so that all tasks share a window's rows.
+    A group of at most ``count`` rows gives all of them.
     """
     order = [F.col(index)]
     placed = ordinal(df, [group], order, F.floor(F.col(index) / 65536), "_place")
     sizes = df.groupBy(group).agg(F.count("*").alias("_n"))
     # The boundaries are whole parts of w*n/count, so the last w at or below a place is its window.
     window_no = F.floor(((F.col("_place") + 1) * count - 1) / F.col("_n"))
-    rows = (
-        placed.join(sizes, group)
-        .withColumn("_window", F.when(F.col("_n") <= count, F.col("_place")).otherwise(window_no))
-        .select(group, index, "_place", "_n", "_window", "translation_m", "quaternion_xyzw")
+    rows = cut_lineage(
+        placed.join(sizes, group).withColumn("_window", window_no)
+        .select(group, index, "_place", "_n", "_window", "translation_m", "quaternion_xyzw"),
+        "windows",
     )
-    id_type = df.schema[group].dataType.simpleString()
-
-    def angle(a, b) -> float:
-        size = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
-        return 2.0 * math.acos(max(0.0, min(1.0, abs(sum(x * y for x, y in zip(a, b))) / size)))
-
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current = best = previous = None
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                key, place, n, window = row[0], row[2], row[3], row[4]
-                if current is not None and (key, window) != current:
-                    out.append(best[1])
-                    previous = best[1] if key == current[0] else None
-                    best = None
-                current = (key, window)
-                if n <= count or previous is None:
-                    target = place if n <= count else (n // count) // 2
-                    score = 1.0 if place == target else 0.0
-                else:
-                    shift = math.sqrt(sum((x - y) ** 2 for x, y in zip(row[5], previous[5]))) / 0.10
-                    score = max(shift, angle(previous[6], row[6]) / math.radians(10))
-                if best is None or score > best[0]:
-                    best = (score, row)
-            yield pd.DataFrame([(r[0], r[1], r[4]) for r in out], columns=[group, index, "window_no"])
-        if best is not None:
-            yield pd.DataFrame([(best[1][0], best[1][1], best[1][4])], columns=[group, index, "window_no"])
-
-    schema = f"{group} {id_type}, {index} long, window_no long"
-    streamed = rows.filter(F.col("_n") <= large_rows).repartition(group).sortWithinPartitions(group, "_place")
-    picked = streamed.mapInPandas(pick, schema)
-    if sizes.filter(F.col("_n") > large_rows).isEmpty():
-        return picked
-    large = cut_lineage(rows.filter(F.col("_n") > large_rows), "windows")
-    return picked.unionByName(_pick_large(large, group, index, count))
+    few = rows.filter(F.col("_n") <= count).select(group, index, F.col("_place").alias("window_no"))
+    return few.unionByName(_pick_large(rows.filter(F.col("_n") > count), group, index, count))
 
 
 def _pick_large(rows: DataFrame, group: str, index: str, count: int) -> DataFrame:

@@ -77,6 +77,16 @@ def valid_findings(findings: DataFrame, videos: DataFrame) -> DataFrame:
     )
 
 
+# The classes in the order in which visits are compared.
+COMPARED_CLASSES = ("chair", "waste_bin", "box")
+
+
+def support_order(visit: Column, object_class: Column, rank: Column) -> Column:
+    """Place of a candidate: its visit by number, the class order, its rank."""
+    place = F.array_position(F.array(*[F.lit(c) for c in COMPARED_CLASSES]), object_class)
+    return F.struct(visit.cast("long").alias("a"), place.cast("long").alias("b"), rank.cast("long").alias("c"))
+
+
 def comparison_support(requests: DataFrame, pairs: DataFrame, comparisons: DataFrame, shown: int = SUPPORT_SHOWN) -> DataFrame:
     """First supporting candidates of each kind for the earlier visit of a request.
 

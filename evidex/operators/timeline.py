@@ -79,8 +79,11 @@ def overlap_groups(actions: DataFrame) -> DataFrame:
     Actions of one name are first merged to stretches, and each action meets the
     stretches of its time bucket: the work follows actions and names, not pairs.
     An action of its own name counts when an earlier one still runs or a later one
-    starts before it ends.
+    starts before it ends.  Exact repeats of an action are one action.
     """
+    actions = cut_lineage(
+        actions.groupBy("video_id", "action_id", "name", "start_s", "end_s").agg(F.min("pos").alias("pos")), "actions"
+    )
     key, bucket = ["video_id", "name"], F.floor(F.col("start_s") / BUCKET_S)
     up = [F.col("start_s"), F.col("end_s"), F.col("pos")]
     down = [F.col(c).desc() for c in ("start_s", "end_s", "pos")]

@@ -49,7 +49,7 @@ def d01(spark, sf):
 
 def _event_input(spark, sf):
     """Fetched windows with a predicted interval in two of three of them."""
-    rows = fetched(spark, sf).filter(F.col("rank") <= 24)
+    rows = fetched(spark, sf)
     predicted = F.col("window_no") % 3 != 0
     return rows.withColumn("predicted_start_s", F.when(predicted, F.col("start_s") + F.lit(0.5))).withColumn(
         "predicted_end_s", F.when(predicted, F.col("end_s") - F.lit(0.25))
@@ -62,7 +62,7 @@ cand as (select f.query_id, f.rank, f.window_id, f.video_id, f.score, f.start_s
    case when f.window_no % 3 <> 0 and f.end_s - 0.25 > f.start_s + 0.5 then f.start_s + 0.5 else f.start_s end as s,
    case when f.window_no % 3 <> 0 and f.end_s - 0.25 > f.start_s + 0.5 then f.end_s - 0.25 else f.end_s end as e,
    coalesce((select list(distinct action_id) from window_actions a where a.window_id = f.window_id), []::varchar[]) as ids
-   from fetched f where f.rank <= 24),
+   from fetched f),
 fold as (select query_id, 0::bigint as step, []::struct(fr bigint, s double, e double, cs double, ce double, score double, w varchar[], ids varchar[])[] as ev from ask
   union all
   select f.query_id, f.step + 1, case when m = 0 then list_append(ev, {'fr': c.rank, 's': c.s, 'e': c.e, 'cs': c.cs, 'ce': c.ce, 'score': c.score, 'w': [c.window_id], 'ids': c.ids})
@@ -95,7 +95,7 @@ def d02(spark, sf):
 
 _UPLOAD = """
 up as (select *, printf('%s:%.2f-%.2f', video_id, start_s, end_s) as window_id, greatest(0, start_s - 1) as xs, least(length_s, end_s + 1) as xe,
-   video_no * 1000000 + window_no as ord, (video_no * 361 + window_no) % (select count(*) from embeddings) as vec_id
+   video_no * 4294967296 + window_no as ord, (video_no * 361 + window_no) % (select count(*) from embeddings) as vec_id
  from (select *, 2.0::double * window_no as start_s, least(2.0::double * window_no + 4, length_s) as end_s from
   (select *, unnest(range(greatest(1, ceil((length_s - 1e-6) / 2))::bigint)) as window_no from recordings))),
 ask as (select concat('ask-', video_id) as query_id, video_id, (video_no * 7) % (select count(*) from embeddings) as q_vec from recordings),
@@ -114,7 +114,7 @@ select query_id, row_number() over (partition by query_id order by score desc, i
 def _upload_windows(spark, sf):
     made = win.windows_keep_tail(recordings(spark, sf))
     return with_vectors(
-        made.withColumn("ord", F.col("video_no") * 1000000 + F.col("window_no"))
+        made.withColumn("ord", F.col("video_no") * (1 << 32) + F.col("window_no"))
         .withColumn("vec_id", (F.col("video_no") * 361 + F.col("window_no")) % vector_count(spark, sf))
         .withColumn("action_names", F.array().cast("array<string>")),
         spark, sf,

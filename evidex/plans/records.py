@@ -8,12 +8,12 @@ from evidex.operators import objects as ob, records as rec
 from evidex.operators.timeline import finding_payload
 from evidex.plans.objects import _TOP, sightings
 from evidex.plans.registry import query
-from evidex.plans.relations import relation, table
+from evidex.plans.relations import relation, table, vector_count
 from evidex.session import scratch_path
 
 _REQUESTS = """
 req as (select concat('insp-', conv_id) as inspection_id, timestamp '2024-01-01' + to_hours(conv_id::integer) as created_at,
-   list_filter(list(case when role = 'user' then concat('obs-', (conv_id * 7 + turn * (conv_id % 3)) % 600) end order by turn), lambda x: x is not null) as ids, max(case when turn = 0 then text end) as question from conversations group by conv_id),
+   list_filter(list(case when role = 'user' then concat('obs-', (conv_id * 7 + turn * (conv_id % 3)) % (select count(*) + count(*) // 5 + 1 from embeddings)) end order by turn), lambda x: x is not null) as ids, max(case when turn = 0 then text end) as question from conversations group by conv_id),
 ev as (select inspection_id, unnest(ids) as observation_id, unnest(range(1, len(ids) + 1)) as rank from req),
 mem as (select concat('obs-', vec_id) as observation_id from embeddings),
 bad as (select distinct inspection_id from (select inspection_id from ev group by inspection_id, observation_id having count(*) > 1 union all select inspection_id from ev where observation_id not in (select observation_id from mem)))"""
@@ -21,9 +21,10 @@ bad as (select distinct inspection_id from (select inspection_id from ev group b
 
 def requests(spark, sf):
     """One inspection request per conversation; user turns name the evidence."""
-    number = (F.col("conv_id") * 7 + F.col("turn") * (F.col("conv_id") % 3)) % 600
-    item = F.when(F.col("role") == "user", F.struct("turn", F.concat(F.lit("obs-"), number.cast("string")).alias("id")))
-    grouped = table(spark, sf, "conversations").groupBy("conv_id").agg(
+    vectors = vector_count(spark, sf)  # one number in six names no vector
+    number = (F.col("conv_id") * 7 + F.col("turn") * (F.col("conv_id") % 3)) % (vectors + F.floor(vectors / 5) + 1)
+    item = F.when(F.col("role") == "user", F.struct("turn", F.concat(F.lit("obs-"), F.col("number").cast("string")).alias("id")))
+    grouped = table(spark, sf, "conversations").withColumn("number", number).groupBy("conv_id").agg(
         F.transform(F.sort_array(F.collect_list(item)), lambda i: i["id"]).alias("evidence_ids"),
         F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("question"),
     )
@@ -86,13 +87,14 @@ def i03(spark, sf):
 
 @query(
     "i04_findings",
-    """select doc_id::varchar as answer, concat('u', doc_id % 200) as video_id, (n_chars % 50)::double as start_s, (n_chars % 70)::double as end_s, 'unclear' as status, 'annotations' as source from documents
- where n_chars % 70 > n_chars % 50 and doc_id % 200 in (select user_id from events)""",
+    """select doc_id::varchar as answer, concat('u', doc_id % m) as video_id, (n_chars % 50)::double as start_s, (n_chars % 70)::double as end_s, 'unclear' as status, 'annotations' as source from documents, (select max(user_id) + max(user_id) // 5 + 1 as m from events)
+ where n_chars % 70 > n_chars % 50 and doc_id % m in (select user_id from events)""",
 )
 def i04(spark, sf):
     none = F.lit(None).cast("string")
+    users = table(spark, sf, "events").agg((F.max("user_id") + F.floor(F.max("user_id") / 5) + 1).alias("m")).scalar()
     found = table(spark, sf, "documents").select(
-        F.concat(F.lit("u"), (F.col("doc_id") % 200).cast("string")).alias("video_id"), F.lit("What happens?").alias("question"),
+        F.concat(F.lit("u"), (F.col("doc_id") % users).cast("string")).alias("video_id"), F.lit("What happens?").alias("question"),
         (F.col("n_chars") % 50).alias("start_s"), (F.col("n_chars") % 70).alias("end_s"), F.col("doc_id").cast("string").alias("answer"),
         F.lit(None).cast("array<string>").alias("evidence_window_ids"), none.alias("status"), none.alias("note"),
         F.lit(None).cast("array<string>").alias("limitations"), none.alias("source"),
@@ -105,8 +107,8 @@ def i04(spark, sf):
 @query(
     "i05_comparison_support",
     f"""with {_TOP}, b as (select observation, object_class, max(point_count) as p from sightings group by 1, 2),
-items as (select eo, 'association' as kind, concat(ed, '__', ld) as item_id, concat_ws(':', lo, object_class, lpad(rank::varchar, 3, '0')) as item_order from top
-  union all select a.observation, 'geometry', concat(a.observation, '-to-', b.observation, '-', a.object_class), concat_ws(':', b.observation, a.object_class) from b a join b on a.object_class = b.object_class and a.observation < b.observation),
+items as (select eo, 'association' as kind, concat(ed, '__', ld) as item_id, struct_pack(a := lo::bigint, b := list_position(['chair', 'waste_bin', 'box'], object_class)::bigint, c := rank::bigint) as item_order from top
+  union all select a.observation, 'geometry', concat(a.observation, '-to-', b.observation, '-', a.object_class), struct_pack(a := b.observation::bigint, b := list_position(['chair', 'waste_bin', 'box'], a.object_class)::bigint, c := 0::bigint) from b a join b on a.object_class = b.object_class and a.observation < b.observation),
 f as (select *, row_number() over (partition by eo, kind order by item_order) as place from items)
 select concat('insp-', r.eo) as inspection_id, kind, place, item_id from (select distinct observation as eo from sightings) r join f using (eo) where place <= 10""",
     "sightings",
@@ -116,11 +118,11 @@ def i05(spark, sf):
     pairs, _ = ob.associate(rows)
     pairs = pairs.select(
         "earlier_observation", F.col("pair_id").alias("item_id"),
-        F.format_string("%d:%s:%03d", "later_observation", "object_class", "rank").alias("item_order"),
+        rec.support_order(F.col("later_observation"), F.col("object_class"), F.col("rank")).alias("item_order"),
     )
     compared = ob.visit_comparison(rows).select(
         "earlier_observation", F.format_string("%d-to-%d-%s", "earlier_observation", "later_observation", "object_class").alias("item_id"),
-        F.format_string("%d:%s", "later_observation", "object_class").alias("item_order"),
+        rec.support_order(F.col("later_observation"), F.col("object_class"), F.lit(0)).alias("item_order"),
     )
     asked = rows.select(F.col("observation").alias("earlier_observation")).distinct().withColumn(
         "inspection_id", F.concat(F.lit("insp-"), F.col("earlier_observation").cast("string"))

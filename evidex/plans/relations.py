@@ -11,7 +11,6 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from evidex.session import spread
 
 SHARED: dict[str, str] = {
     # one "second" of a recording is one hour of the event's timestamp
@@ -53,12 +52,12 @@ select concat('f', cast(l_orderkey as varchar(20))) as frame_id, l_orderkey as f
        l_quantity + 10 + l_partkey % 8 as x2, round(l_tax*500 + 10 + l_suppkey % 8,6) as y2
 from {lineitem}""",
     "points": """
-select l_orderkey % 500 as frame_no, l_quantity as x, round(l_tax*100,6) as y, round(l_discount*100,6) as z,
+select cast(floor(l_orderkey / 40.0) as bigint) as frame_no, l_quantity as x, round(l_tax*100,6) as y, round(l_discount*100,6) as z,
        l_partkey % 256 as r, (l_partkey*7) % 256 as g, (l_partkey*13) % 256 as b,
        l_orderkey, l_linenumber, l_partkey, l_suppkey
 from {lineitem}""",
     "mask_pixels": """
-select o_custkey as detection_no, o_custkey % 500 as frame_no, o_orderkey as px_order,
+select o_custkey as detection_no, o_custkey as frame_no, o_orderkey as px_order,
        o_orderkey % 60 as px, (o_orderkey * 7) % 40 as py,
        o_orderkey % 256 as r, (o_orderkey*7) % 256 as g, (o_orderkey*13) % 256 as b
 from {orders}""",
@@ -94,7 +93,7 @@ WINDOW_SQL: dict[str, tuple[str, tuple[str, ...]]] = {
     "windows": (
         """
 select printf('%s:%.2f-%.2f', video_id, start_s, end_s) as window_id, video_id, video_no, window_no, split,
-       start_s, end_s, length_s as duration_s, video_no * 1000000 + window_no as ord,
+       start_s, end_s, length_s as duration_s, video_no * 4294967296 + window_no as ord,
        (video_no * 361 + window_no) % (select count(*) from embeddings) as vec_id,
        description, script, scene, subject, object_a, object_b
 from (select *, 2.0::double * window_no as start_s, least(2.0::double * window_no + 4, length_s) as end_s
@@ -156,16 +155,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts, one part per core at least: tokenising them is the work."""
-    return spread(table(spark, sf_dir, "documents"))
+    return table(spark, sf_dir, "documents")
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A shared relation as a lazy DataFrame over the parquet tables."""
     text = re.sub(r"<<(\d+)>>", r"element_at(embedding,\1)", SHARED[name])
     tables = {t: table(spark, sf_dir, t) for t in set(_TABLE.findall(text))}
-    if "lineitem" in tables:  # the widest scan: one part per core before the projection
-        tables["lineitem"] = spread(tables["lineitem"])
     return spark.sql(text, **tables)
 
 
@@ -183,7 +179,7 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidex.operators.windows import sliding_windows
 
     made = sliding_windows(recordings(spark, sf_dir))
-    return made.withColumn("ord", F.col("video_no") * 1000000 + F.col("window_no")).withColumn(
+    return made.withColumn("ord", F.col("video_no") * (1 << 32) + F.col("window_no")).withColumn(
         "vec_id", (F.col("video_no") * 361 + F.col("window_no")) % vector_count(spark, sf_dir)
     )
 

@@ -71,7 +71,7 @@ select printf('%s:%.2f-%.2f', video_id, start_s, end_s) as window_id, start_s, e
 def s04(spark, sf):
     rows = recordings(spark, sf).select("video_id", "video_no", F.col("length_s").cast("double").alias("length_s"))
     path = scratch_path(spark, "recordings")
-    rows.repartition(4, "video_id").write.parquet(path)
+    rows.repartition("video_id").write.parquet(path)
     arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
     made = settle(spark, jobs.arriving_windows(arriving), "append", "windows")
     return made.select("window_id", "start_s", "end_s", "context_start_s")

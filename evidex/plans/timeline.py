@@ -57,8 +57,9 @@ def e09(spark, sf):
 
 @query(
     "e02_overlap_groups",
-    """select distinct video_id, names from (select a.video_id, a.pos, array_to_string(list_sort(list_distinct(list_append(list(b.name), any_value(a.name)))), ',') as names
- from actions a join actions b on a.video_id = b.video_id and a.pos <> b.pos and b.start_s < a.end_s and b.end_s > a.start_s group by 1, 2)""",
+    """with once as (select video_id, action_id, name, start_s, end_s, min(pos) as pos from actions group by all)
+select distinct video_id, names from (select a.video_id, a.pos, array_to_string(list_sort(list_distinct(list_append(list(b.name), any_value(a.name)))), ',') as names
+ from once a join once b on a.video_id = b.video_id and a.pos <> b.pos and b.start_s < a.end_s and b.end_s > a.start_s group by 1, 2)""",
     "actions",
 )
 def e02(spark, sf):

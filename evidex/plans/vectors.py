@@ -85,16 +85,19 @@ def b04(spark, sf):
 @query(
     "b05_corpus_fingerprint",
     """
-with leaf as (select sha256(doc_id::varchar) as place,
+with recursive leaf as (select sha256(doc_id::varchar) as place,
                      sha256(concat(length(doc_id::varchar), ':', doc_id, ':', sha256(text))) as digest from documents),
-l2 as (select substr(place, 1, 2) as place, sha256(string_agg(digest, '' order by place, digest)) as digest from leaf group by substr(place, 1, 2)),
-l1 as (select substr(place, 1, 1) as place, sha256(string_agg(digest, '' order by place)) as digest from l2 group by substr(place, 1, 1))
-select sha256(string_agg(digest, '' order by place)) as fingerprint from l1
+-- sixteen-fold levels until a leaf holds about 64 digests
+d as (select greatest(0, ceil(log(greatest(count(*), 1) / 64.0) / log(16.0) - 1e-9))::bigint as depth from documents),
+up as (select depth as level, substr(place, 1, depth) as place, sha256(string_agg(digest, '' order by place, digest)) as digest from leaf, d group by depth, substr(place, 1, depth)
+  union all
+  select distinct level - 1, substr(place, 1, level - 1), sha256(string_agg(digest, '') over (partition by substr(place, 1, level - 1) order by place rows between unbounded preceding and unbounded following)) from up where level > 0)
+select digest as fingerprint from up where level = 0
 """,
 )
 def b05(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("label"), "text")
-    return emb.fingerprint(docs, "label", "text", depth=2)
+    return emb.fingerprint(docs, "label", "text", depth=emb.fingerprint_depth(docs.count()))
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -11,15 +13,16 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
-    """A single-machine session for tests and the benchmark."""
+    """A single-machine session for tests and the benchmark, with a shared folder of its own."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
+        .config(CHECKPOINT_CONF, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         .appName("evidex")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -29,16 +32,29 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster.
 
-    Only a session that names none (a test) gets a folder of its own.
+    Only a session whose executors are threads of the driver may name none; it gets one.
     """
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured:
         return configured
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
     created = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set(CHECKPOINT_CONF, created)
     return created
 
 
+def ship_package(spark: SparkSession) -> str:
+    """Send this package to the executors of a session that was started without it.
+
+    Python functions travel by reference, so executors need the package; a zip of it is written
+    to the driver's temporary folder and given to Spark, which sends it to every executor."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    packed = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="evidex-"), "evidex"), "zip", root, "evidex")
+    spark.sparkContext.addPyFile(packed)
+    return packed
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/evidex/{name}-{uuid.uuid4().hex}"
@@ -57,9 +73,3 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a table that was read in fewer parts than there are cores one part per
-    core.  A large table has more splits than cores and stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

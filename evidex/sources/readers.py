@@ -59,8 +59,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 
 def read_manifest(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """One JSON object as one row; its fields serve as scalar subqueries."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path).limit(1)
+    """The one JSON object of ``path`` as one row; its fields serve as scalar subqueries.
+
+    None or several objects are an error."""
+    found = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    if len(found.take(2)) != 1:
+        raise ValueError(f"{path} does not hold exactly one object")
+    return found
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

@@ -91,9 +91,14 @@ def embed_windows(
 
 
 def cache_summary(cache: DataFrame) -> DataFrame:
-    videos = cache.groupBy("video_id").agg(
-        F.sum((~F.col("failed")).cast("long")).alias("windows"), F.max(F.col("failed").cast("int")).alias("failed"),
-        F.max(F.size("frame_embeddings")).alias("frames"),
+    """Windows stored, recordings, recordings with a failed window and frames per window.
+
+    A retry is appended, so a window counts as failed only if no row of it succeeded."""
+    latest = cache.groupBy("window_id", "video_id").agg(
+        F.min(F.col("failed").cast("int")).alias("failed"), F.max(F.size("frame_embeddings")).alias("frames")
+    )
+    videos = latest.groupBy("video_id").agg(
+        F.sum(1 - F.col("failed")).cast("long").alias("windows"), F.max("failed").alias("failed"), F.max("frames").alias("frames")
     )
     return videos.agg(
         F.sum("windows").alias("window_count"), F.count("*").alias("video_count"), F.sum("failed").cast("long").alias("failed_videos"),

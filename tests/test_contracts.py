@@ -173,10 +173,9 @@ def test_nms_maps_clamps_and_rejects(spark):
     assert ob.rejected_counts(raw, kept, "frame_id").first().rejected_count == 2
 
 
-@pytest.mark.parametrize("large_rows", [5, 5_000_000])
-def test_keyframes_by_window(spark, large_rows):
+def test_keyframes_by_window(spark):
     rows = spark.createDataFrame([("o", i, [float(i), 0.0, 0.0], [0.0, 0.0, 0.0, 1.0]) for i in range(12)] + [("p", i, [0.0] * 3, [0.0, 0.0, 0.0, 1.0]) for i in range(3)], "g string, i long, translation_m array<double>, quaternion_xyzw array<double>")
-    got = {g: sorted(r.i for r in part) for g, part in _group(pl.keyframes_by_window(rows, "g", "i", 4, large_rows).collect(), "g").items()}
+    got = {g: sorted(r.i for r in part) for g, part in _group(pl.keyframes_by_window(rows, "g", "i", 4).collect(), "g").items()}
     assert got == {"o": [1, 5, 8, 11], "p": [0, 1, 2]}
 
 
@@ -319,3 +318,61 @@ def test_tracks_and_visibility(spark):
     prompts = spark.createDataFrame([("laptop",), ("old laptop",), ("cup",)], "prompt string")
     seen = {r.prompt: (r.frames_visible, r.max_score, r.status) for r in ob.visibility(prompts, rows, frames).collect()}
     assert seen == {"laptop": (3, 0.8, "supported"), "old laptop": (3, 0.8, "supported"), "cup": (0, 0.0, "not_visibly_confirmed")}
+
+
+def test_a_manifest_is_one_object(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from evidex.sources import readers
+
+    schema = T.StructType([T.StructField("n", T.LongType())])
+    (tmp_path / "a.json").write_text('{"n": 1}')
+    assert [r.n for r in readers.read_manifest(spark, str(tmp_path), schema).collect()] == [1]
+    (tmp_path / "b.json").write_text('{"n": 2}')
+    with pytest.raises(ValueError):
+        readers.read_manifest(spark, str(tmp_path), schema)
+
+
+def test_a_retried_window_is_no_failure(spark):
+    from evidex.sources import sinks
+
+    cache = spark.createDataFrame(
+        [("w1", "v", None, True), ("w1", "v", [[1.0], [2.0]], False), ("w2", "u", None, True)], sinks.CACHE_SCHEMA
+    )
+    row = sinks.cache_summary(cache).first()
+    assert (row.window_count, row.video_count, row.failed_videos, row.frames_per_window) == (1, 2, 1, 2)
+
+
+def test_repeats_of_an_action_do_not_overlap(spark):
+    from evidex.operators import timeline
+
+    rows = spark.createDataFrame([("v", 1, "c", "Walk", 0.0, 2.0), ("v", 2, "c", "Walk", 0.0, 2.0)], "video_id string, pos long, action_id string, name string, start_s double, end_s double")
+    assert timeline.overlap_groups(rows).count() == 0
+
+
+def test_labels_are_normalised(spark):
+    from evidex.operators import objects
+
+    found = spark.createDataFrame([("f1", " Office_Chair.", 0.5, 1), ("f1", "office chair", 0.9, 2)], "frame_id string, label string, score double, place int")
+    best = objects.best_per_label(found, ["frame_id", "label"], [F.col("place")]).collect()
+    assert [(r.label, r.score) for r in best] == [("office chair", 0.9)]
+    prompts = spark.createDataFrame([("CHAIR",), ("sofa",)], "prompt string")
+    frames = spark.createDataFrame([("f1",)], "frame_id string")
+    seen = {r.prompt: r.frames_visible for r in objects.visibility(prompts, found, frames).collect()}
+    assert seen == {"chair": 1, "sofa": 0}
+
+
+def test_lexical_search_within_a_split(spark):
+    from evidex.operators import lexical
+
+    windows = spark.createDataFrame([("w1", "v", ["open door"], "", [], "a"), ("w2", "u", ["open door"], "", [], "b")], "window_id string, video_id string, action_names array<string>, description string, objects array<string>, split string")
+    asked = spark.createDataFrame([("q", "open the door", "b")], "query_id string, question string, split string")
+    assert [r.window_id for r in lexical.lexical_search(asked, windows, within="split").collect()] == ["w2"]
+
+
+def test_supports_follow_visit_class_and_rank(spark):
+    from evidex.operators import records
+
+    rows = spark.createDataFrame([(10, "chair", 1), (2, "box", 1), (2, "chair", 2), (2, "chair", 1)], "v int, c string, r int")
+    order = rows.orderBy(records.support_order(F.col("v"), F.col("c"), F.col("r"))).collect()
+    assert [tuple(r) for r in order] == [(2, "chair", 1), (2, "chair", 2), (2, "box", 1), (10, "chair", 1)]

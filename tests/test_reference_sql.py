@@ -19,5 +19,5 @@ def test_query(spark, con, name):
     assert ok, note
 
 
-def test_every_oracle_has_a_query():
-    assert set(catalog.oracle_sql()) <= set(catalog.queries())
+def test_every_query_has_its_sql():
+    assert set(catalog.oracle_sql()) == set(catalog.queries())
