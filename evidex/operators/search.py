@@ -104,6 +104,34 @@ def scoped_window_search(
     return diversify_by_interval(fetched, k) if diversify else fetched
 
 
+def open_window_search(questions: DataFrame, windows: DataFrame, k: int, *, diversify: bool = True) -> DataFrame:
+    """Windows of all recordings, optionally of the question's action names.
+
+    The arguments are those of ``scoped_window_search``; ``video_id`` of a question is not read.
+    Windows are scanned in blocks.  A question with names is one scoped scan per name over the
+    windows' label rows, and the best of all names are the best of the question; only
+    ``(question, ord, score)`` is ranked, and the windows' columns join the rows that remain.
+    """
+    from evidex.operators.ranking import diversify_by_interval
+
+    fetch = 4 * k if diversify else k
+    mark = "\x1f"
+    asked = questions.select("query_id", F.col("q_vector").alias("vector"), "action_names")
+    free = asked.filter(F.col("action_names").isNull()).select("query_id", "vector")
+    named = asked.select("query_id", "vector", F.explode(F.array_distinct("action_names")).alias("q_scope"))
+    named = named.withColumn("query_id", F.concat("query_id", F.lit(mark), "q_scope"))
+    labels = windows.select("ord", "vector", F.explode(F.array_distinct("action_names")).alias("scope"))
+    hits = cosine_topk(free, windows.select("ord", "vector"), fetch).select("query_id", "ord", "score").unionByName(
+        cosine_topk(named, labels, fetch, scoped=True).select(
+            F.substring_index("query_id", mark, 1).alias("query_id"), "ord", "score"
+        )
+    ).distinct()
+    rank = Window.partitionBy("query_id").orderBy(F.round("score", blocks.SCORE_DIGITS).desc(), F.col("ord"))
+    best = hits.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= fetch)
+    fetched = best.withColumn("score", F.round("score", 4)).join(windows.drop("vector"), "ord")
+    return diversify_by_interval(fetched, k) if diversify else fetched
+
+
 def moment_search(questions: DataFrame, windows: DataFrame, k: int = 8) -> DataFrame:
     """Best windows of one uploaded recording, merged to moments."""
     from evidex.operators.ranking import merge_moments

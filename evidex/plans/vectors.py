@@ -12,6 +12,7 @@ from evidex.functions.vectors import norm
 from evidex.operators import embeddings as emb, search
 from evidex.plans.registry import query
 from evidex.plans.relations import documents, relation, table, vector_count, with_vectors
+from evidex.session import cut_lineage
 
 DIM = 64
 
@@ -331,6 +332,30 @@ def b15(spark, sf):
     return found.select("query_id", "window_id", "rank", "score")
 
 
+OPEN_SQL = (
+    B15_SQL.replace("n2 from recordings)", "n2, video_no % 2 = 0 as named from recordings)")
+    .replace(
+        "join window_actions w on w.video_id = a.video_id and w.name in (a.n1, a.n2))",
+        "join window_actions w on w.name in (a.n1, a.n2) where a.named union all select a.query_id, w.window_id from ask a join windows w on not a.named)",
+    )
+)
+
+
+@query(
+    "b15_open_search",
+    f"with {OPEN_SQL} select query_id, window_id, place as rank, score from kept where place <= 8",
+    "windows window_actions",
+)
+def b15_open(spark, sf):
+    """Every recording's question over all recordings; every second one names two actions."""
+    numbers = relation(spark, sf, "recordings").select("video_id", "video_no")
+    asked = window_questions(spark, sf).join(numbers, "video_id").withColumn(
+        "action_names", F.when(F.col("video_no") % 2 == 0, F.col("action_names"))
+    )
+    rows = searchable_windows(spark, sf).select("ord", "vector", "window_id", "video_id", "start_s", "end_s", "action_names")
+    return search.open_window_search(asked, cut_lineage(rows, "windows"), 8).select("query_id", "window_id", "rank", "score")
+
+
 @query(
     "b16_record_lookup",
     "select d.doc_id, l.quality, l.toxic, l.doc_id is not null as found from documents d left join labels l using (doc_id)",
