@@ -376,3 +376,17 @@ def test_supports_follow_visit_class_and_rank(spark):
     rows = spark.createDataFrame([(10, "chair", 1), (2, "box", 1), (2, "chair", 2), (2, "chair", 1)], "v int, c string, r int")
     order = rows.orderBy(records.support_order(F.col("v"), F.col("c"), F.col("r"))).collect()
     assert [tuple(r) for r in order] == [(2, "chair", 1), (2, "chair", 2), (2, "box", 1), (10, "chair", 1)]
+
+
+def test_quantiles_of_mostly_equal_values(spark):
+    import numpy as np
+
+    from evidex.operators.quantiles import exact_quantiles
+
+    values = [1.5] * 900 + [float(i) / 7 for i in range(100)]
+    rows = spark.createDataFrame([("a", v) for v in values] + [("b", 2.0), ("b", None), ("b", 4.0)], "k string, v double")
+    probs = {"p05": 0.05, "median": 0.5, "p97": 0.97}
+    got = {r.k: r for r in exact_quantiles(rows, ["k"], "v", probs, 0.5).collect()}
+    for name, p in probs.items():
+        assert got["a"][name] == pytest.approx(np.quantile(values, p))
+        assert got["b"][name] == pytest.approx(np.quantile([2.0, 4.0], p))
