@@ -6,6 +6,7 @@ import os
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
@@ -24,10 +25,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(remainder(doc_id) == 0, F.lit(False))
 
 
-def training_sample(
-    docs: DataFrame, labels: DataFrame, label: str, rows: int, max_chars: int
-) -> list[tuple[str, int]]:
-    """(text, label) of at most ``rows`` labelled documents outside fold 0, on the driver.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, max_chars: int) -> DataFrame:
+    """(doc_id, text, y) of at most ``rows`` labelled documents outside fold 0.
 
     The sample is the ``rows`` labelled ids of smallest hash, so it is the same at every run.
     Texts over ``max_chars`` and null texts or labels are left out of it.  An id that occurs
@@ -41,14 +40,26 @@ def training_sample(
         .limit(rows)
     )
     # At most ``rows`` ids, so this side is bounded whatever the size of the tables.
-    found = (
+    return (
         docs.select("doc_id", "text")
         .where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
         .join(F.broadcast(picked), "doc_id")
         .groupBy("doc_id")
-        .agg(F.min("text").alias("text"), F.max("_y").alias("_y"))
+        .agg(F.min("text").alias("text"), F.max("_y").alias("y"))
     )
-    return [(r["text"], r["_y"]) for r in sorted(found.collect(), key=lambda r: r["doc_id"])]
+
+
+def fit_in_task(sample: DataFrame, fit: Callable[[list[tuple[str, int]]], object]) -> object:
+    """``fit`` of the bounded sample's (text, y), by id, run as one task; the model comes back."""
+
+    def run(batches):
+        found = [r for batch in batches for r in batch.to_pylist()]
+        found.sort(key=lambda r: r["doc_id"])
+        model = fit([(r["text"], r["y"]) for r in found])
+        yield pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps(model)], pa.binary())], ["model"])
+
+    row = sample.coalesce(1).mapInArrow(run, "model binary").first()
+    return cloudpickle.loads(row["model"]) if row else fit([])
 
 
 def map_batches(
@@ -127,5 +138,5 @@ def tokenizer_dir() -> str:
 
 __all__ = [
     "as_array", "from_arrow_schema", "held_out", "map_batches", "remainder", "score_texts", "table",
-    "tokenizer_dir", "training_sample",
+    "fit_in_task", "tokenizer_dir", "training_rows",
 ]

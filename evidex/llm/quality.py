@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from evidex.llm.common import held_out, score_texts, training_sample
+from evidex.llm.common import fit_in_task, held_out, score_texts, training_rows
 
 OTHER, LETTERS = re.compile(r"\W+"), re.compile(r"\w+")
 
@@ -237,10 +237,14 @@ class QualityModel:
 
 def train(docs: DataFrame, labels: DataFrame, shape: Shape = Shape(), label: str = "quality") -> QualityModel:
     words = word_table(context_table(docs, shape), shape)
-    sample = training_sample(docs, labels, label, shape.sample_rows, shape.max_chars)
-    seen = Buckets(shape.buckets)
-    x = features([t for t, _ in sample], words, seen)
-    return QualityModel(words, fit(x, np.array([y for _, y in sample], float), shape), shape)
+    sample = training_rows(docs, labels, label, shape.sample_rows, shape.max_chars)
+    vectors = docs.sparkSession.sparkContext.broadcast(words)
+
+    def fit_rows(rows):
+        x = features([t for t, _ in rows], vectors.value, Buckets(shape.buckets))
+        return fit(x, np.array([y for _, y in rows], float), shape)
+
+    return QualityModel(words, fit_in_task(sample, fit_rows), shape)
 
 
 def score_documents(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
