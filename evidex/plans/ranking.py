@@ -11,6 +11,7 @@ from evidex.plans.relations import (
     annotated_windows, documents, observations, recordings, relation, table, vector_count, windows, with_vectors,
 )
 from evidex.plans.vectors import searchable_windows
+from evidex.session import cut_lineage
 
 # One question per recording: its vector and the five nearest windows of every recording.
 _ASK = """
@@ -341,6 +342,22 @@ def d09(spark, sf):
     return made.withColumn("matched_actions", F.array_join("matched_actions", ","))
 
 
+_RESOLVE_OPEN = _RESOLVE.replace(
+    "lab as (select distinct a.video_id, trim(name)", "lab as (select distinct trim(name)"
+).replace("from qd join lt using (video_id) join embeddings vq", "from qd cross join lt join embeddings vq")
+
+
+@query(
+    "d09_open_actions",
+    f"""with {_RESOLVE_OPEN} select query_id, case when len(matched) > 0 then 'supported' else 'unsupported' end as status, array_to_string(matched, ',') as matched_actions, reason from resolved""",
+    "recordings actions",
+)
+def d09_open(spark, sf):
+    """The same questions about no recording in particular."""
+    made = lx.resolve_open_actions(asked_questions(spark, sf), vocabulary(spark, sf), label_vectors(spark, sf))
+    return made.withColumn("matched_actions", F.array_join("matched_actions", ","))
+
+
 def guarded(spark, sf):
     asked = asked_questions(spark, sf)
     resolved = lx.resolve_actions(asked, vocabulary(spark, sf), label_vectors(spark, sf))
@@ -377,6 +394,34 @@ def d10(spark, sf):
     return found.select("query_id", "rank", "window_id", "score", "retrieval_mode", "status", "reason")
 
 
+_GUARDED_OPEN = (
+    _GUARDED.replace(_RESOLVE, _RESOLVE_OPEN)
+    .replace("join rows_ w on w.video_id = r.video_id\n", "join rows_ w on true\n")
+    .replace("join rows_ w on w.video_id = l.video_id and list_has_any", "join rows_ w on list_has_any")
+    .replace(
+        "fr as (select query_id, row_number() over (partition by query_id order by s desc, window_id) as rank, window_id, round(s, 4) as score, 'annotation_fallback' as retrieval_mode from fs where s > 0 and not dropped)",
+        "fr as (select query_id, row_number() over (partition by query_id order by s desc, window_id) as rank, window_id, round(s, 4) as score, 'annotation_fallback' as retrieval_mode from"
+        " (select *, row_number() over (partition by query_id, video_id order by s desc, window_id) as own from fs where s > 0 and not dropped) where own <= 2)",
+    )
+    .replace("where rank <= 2)", "where rank <= 8)")
+)
+
+
+@query(
+    "d10_open_search",
+    f"""with {_GUARDED_OPEN} select r.query_id, f.rank, f.window_id, f.score::double as score, f.retrieval_mode, case when f.window_id is not null then 'supported' else 'unsupported' end as status,
+ case when f.retrieval_mode = 'annotation_fallback' then 'learned vectors are unavailable for this recording; matched annotated windows are shown'
+  when len(r.matched) > 0 and f.window_id is null then 'matched action has no retrievable evidence window' else r.reason end as reason from resolved r left join found f using (query_id)""",
+    "recordings actions windows window_actions",
+)
+def d10_open(spark, sf):
+    asked = asked_questions(spark, sf)
+    resolved = lx.resolve_open_actions(asked, vocabulary(spark, sf), label_vectors(spark, sf))
+    rows = cut_lineage(searchable_windows(spark, sf), "windows")
+    found = lx.guarded_search(asked, resolved, rows.filter(F.col("split") == "train"), rows.drop("vector"), 8, everywhere=True)
+    return found.select("query_id", "rank", "window_id", "score", "retrieval_mode", "status", "reason")
+
+
 _PRESENT = """
 ins as (select f.query_id, f.rank, f.window_id, f.score, w.video_id, w.start_s as cs, w.end_s as ce, w.window_no, w.duration_s from found f join windows w using (window_id)),
 wa as (select window_id, list({'id': action_id, 'name': name, 's': start_s, 'e': end_s} order by pos) as a from window_actions group by 1),
