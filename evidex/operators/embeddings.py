@@ -185,17 +185,6 @@ def mean_pool(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     return normalize(packed, vector)
 
 
-def mean_pool_array(frames: Column) -> Column:
-    """Mean of an ``array<array<float>>`` column, not yet normalised."""
-    count = F.size(frames)
-    total = F.aggregate(
-        F.slice(frames, 2, F.greatest(count - 1, F.lit(0))),
-        as_double(F.element_at(frames, 1)),
-        lambda acc, v: F.zip_with(acc, as_double(v), lambda x, y: x + y),
-    )
-    return F.transform(total, lambda x: x / count)
-
-
 def neighbour_context(df: DataFrame, episode: str, step: str, action: str, order: str | None = None) -> DataFrame:
     """Actions at the steps before, at and after each row of the same episode.
 

@@ -173,7 +173,8 @@ def diversify_by_sequence(ranked: DataFrame, limit: int = SEARCH_K) -> DataFrame
         ranked.filter(F.col("rank") <= SEARCH_CANDIDATES)
         .withColumn("_place", F.row_number().over(by_rank))
         .withColumn("_first", F.first("step").over(by_rank))
-        .withColumn("_far", F.when(F.abs(F.col("step") - F.col("_first")) >= MIN_STEPS_APART, F.col("rank")))
+        .withColumn("_apart", F.coalesce(F.abs(F.col("step") - F.col("_first")) >= MIN_STEPS_APART, F.lit(True)))
+        .withColumn("_far", F.when((F.col("_place") > 1) & F.col("_apart"), F.col("rank")))
         .withColumn("_second", F.min("_far").over(whole))
     )
     first_pass = (F.col("_place") == 1) | F.coalesce(F.col("rank") == F.col("_second"), F.lit(False))
@@ -188,7 +189,7 @@ def diversify_by_sequence(ranked: DataFrame, limit: int = SEARCH_K) -> DataFrame
         .when(F.col("pass") == 1, "related office view")
         .otherwise("additional view")
     )
-    return top.withColumn("_lead", lead).withColumn("kind", kind).drop("_lead", "_place", "_first", "_far", "_second")
+    return top.withColumn("_lead", lead).withColumn("kind", kind).drop("_lead", "_place", "_first", "_apart", "_far", "_second")
 
 
 def majority_zone(evidence: DataFrame) -> DataFrame:

@@ -40,9 +40,9 @@ def new_inspections(requests: DataFrame, memory: DataFrame) -> tuple[DataFrame,
     inspections = good.select(
         "inspection_id", "title", "question", "created_at",
         F.when(some, "supported_with_limits").otherwise("insufficient_evidence").alias("status"),
-        F.when(some, "Inspection saved with selected visual evidence.")
-        .otherwise("Inspection saved; select evidence before drawing a conclusion.").alias("result_text"),
-        F.array(F.lit("Saved evidence does not establish persistent object identity or movement.")).alias("limitations"),
+        F.when(some, "Stored with the evidence chosen.")
+        .otherwise("Stored; choose evidence first.").alias("result_text"),
+        F.array(F.lit("The evidence shows neither lasting identity nor motion of an object.")).alias("limitations"),
     )
     return inspections, evidence.join(bad, "inspection_id", "left_anti")
 

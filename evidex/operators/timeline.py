@@ -63,12 +63,8 @@ def catalog_union(prepared: DataFrame, uploads: DataFrame) -> DataFrame:
     return prepared.withColumn("source", F.lit("prepared")).unionByName(added, allowMissingColumns=True)
 
 
-def windows_of_video(windows: DataFrame, video_id: str) -> DataFrame:
-    return windows.filter(F.col("video_id") == video_id).orderBy("start_s", "end_s")
-
-
 def window_positions(windows: DataFrame) -> DataFrame:
-    """The same order for every recording at once, as a 0-based position."""
+    """The order of every recording's windows, as a 0-based position."""
     order = [F.col("start_s"), F.col("end_s")]
     return ordinal(windows, ["video_id"], order, F.floor(F.col("start_s") / BUCKET_S), "position")
 

@@ -32,7 +32,13 @@ def write_index(df: DataFrame, path: str, model_id: str, model_revision: str, ve
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/metadata")
+    """Rows and metadata of a finished index; without metadata, or with another count, it fails."""
+    if not _exists(spark, f"{path}/metadata"):
+        raise FileNotFoundError(f"unfinished index: {path}")
+    rows, metadata = spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/metadata")
+    if rows.count() != metadata.first()["count"]:
+        raise ValueError(f"index rows do not match its metadata: {path}")
+    return rows, metadata
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
