@@ -390,3 +390,22 @@ def test_quantiles_of_mostly_equal_values(spark):
     for name, p in probs.items():
         assert got["a"][name] == pytest.approx(np.quantile(values, p))
         assert got["b"][name] == pytest.approx(np.quantile([2.0, 4.0], p))
+
+
+def test_windows_close_behind_the_watermark(spark, tmp_path):
+    from evidex.streaming import jobs
+
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "kind string, ts timestamp"
+
+    def arrive(*rows):
+        made = spark.createDataFrame(rows, "kind string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+        made.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        jobs.run_available(jobs.sliding_counts(stream, ["kind"], "4 hours", "4 hours", "1 hour"), "update", target)
+        rows = jobs.last_update(jobs.stored_rows(spark, target), ["window_start", "window_end", "kind"])
+        return sorted((r.window_start.hour, r.events) for r in rows.collect())
+
+    assert arrive(("a", "2024-01-01 01:00:00"), ("a", "2024-01-01 09:00:00")) == [(0, 1), (8, 1)]
+    # The first window is final, its state is gone, and a row for it is dropped; the open one counts on.
+    assert arrive(("a", "2024-01-01 02:00:00"), ("a", "2024-01-01 10:00:00")) == [(0, 1), (8, 2)]
