@@ -180,13 +180,23 @@ def macro_pair(pair_metrics: DataFrame) -> DataFrame:
 
 
 def disjoint_check(memory: DataFrame, queries: DataFrame) -> DataFrame:
-    """Violations ``(observation_id, problem)`` before a traversal evaluation."""
+    """Violations ``(observation_id, problem)`` before a traversal evaluation.
+
+    Where both sides name ``model_id`` and ``model_revision``, they must share one model; if they do
+    not, every model is listed as ``id@revision``.
+    """
+    from evidex.operators.embeddings import model_guard
+
     ids = memory.select("observation_id").join(queries.select("observation_id"), "observation_id", "left_semi").distinct()
     both = memory.select("observation_id", "sequence_id", "pose_ok").unionByName(queries.select("observation_id", "sequence_id", "pose_ok"))
     blank = F.trim(F.coalesce("sequence_id", F.lit(""))) == ""
     problems = F.array(F.when(blank, "no_sequence"), F.when(~F.coalesce("pose_ok", F.lit(False)), "bad_pose"))
     bad = both.select("observation_id", F.explode(F.filter(problems, lambda p: p.isNotNull())).alias("problem")).distinct()
-    return ids.withColumn("problem", F.lit("shared_id")).unionByName(bad)
+    found = ids.withColumn("problem", F.lit("shared_id")).unionByName(bad)
+    if not {"model_id", "model_revision"} <= set(memory.columns) & set(queries.columns):
+        return found
+    models = model_guard(memory, queries).select(F.concat_ws("@", "model_id", "model_revision").alias("observation_id"))
+    return found.unionByName(models.withColumn("problem", F.lit("model_mismatch")))
 
 
 def zone_prompt_rows(prompts: DataFrame, memory: DataFrame) -> DataFrame:
@@ -217,6 +227,18 @@ def zone_macro(rows: DataFrame) -> DataFrame:
     )
 
 
+def assignment_coverage(records: DataFrame, unassigned: str = "unassigned") -> DataFrame:
+    """Zones, assigned and unassigned frames and their share; ``records``: ``observation_id, zone``."""
+    given = F.coalesce(F.col("zone") != unassigned, F.lit(False))
+    counts = records.agg(
+        F.count_distinct(F.when(given, F.col("zone"))).alias("zone_count"),
+        F.coalesce(F.sum(given.cast("long")), F.lit(0)).alias("assigned_frame_count"),
+        F.coalesce(F.sum((~given).cast("long")), F.lit(0)).alias("unassigned_frame_count"),
+    )
+    total = F.col("assigned_frame_count") + F.col("unassigned_frame_count")
+    return counts.withColumn("assignment_coverage", F.try_divide("assigned_frame_count", total))
+
+
 def temporal_results(query_vectors: DataFrame, index: DataFrame, k: int = 10) -> DataFrame:
     """Diversified top ``k`` windows per distinct query vector.
 

@@ -174,6 +174,19 @@ def g08(spark, sf):
     return _rounded(ev.zone_macro(prompt_rows(spark, sf)), *[f"macro_{m}_at_{k}" for m in ("hit", "precision") for k in ev.CUTS])
 
 
+@query(
+    "g08_assignment_coverage",
+    """with a as (select case when step % 6 <> 0 then concat('zone-', sequence_no % 7) when step % 4 = 0 then 'unassigned' end as zone from observations)
+select count(distinct zone) filter (where zone <> 'unassigned') as zone_count, count(*) filter (where zone <> 'unassigned') as assigned_frame_count,
+  count(*) filter (where zone is null or zone = 'unassigned') as unassigned_frame_count, count(*) filter (where zone <> 'unassigned') / count(*) as assignment_coverage from a""",
+    "observations",
+)
+def g08_coverage(spark, sf):
+    """Every sixth frame has no zone, or is marked as unassigned."""
+    zone = F.when(F.col("step") % 6 != 0, F.col("zone")).when(F.col("step") % 4 == 0, "unassigned")
+    return ev.assignment_coverage(observations(spark, sf).select("observation_id", zone.alias("zone")))
+
+
 @query("g09_traversal_rows", f"with {_rows_sql(True)} select query_id, source_sequence_id, target_sequence_id, step, {_ROW_SQL}", "observations")
 def g09(spark, sf):
     return _row_columns(evaluated(spark, sf, True)[0], "query_id", "source_sequence_id", "target_sequence_id")
@@ -218,7 +231,8 @@ def g12(spark, sf):
 @query(
     "g13_disjoint_check",
     """select observation_id, 'shared_id' as problem from observations where split = 'query' and step % 25 = 0
-union all select observation_id, 'no_sequence' from observations where step % 41 = 0 union all select observation_id, 'bad_pose' from observations where step % 43 = 0""",
+union all select observation_id, 'no_sequence' from observations where step % 41 = 0 union all select observation_id, 'bad_pose' from observations where step % 43 = 0
+union all select unnest(['encoder@r1', 'encoder@r2']), 'model_mismatch'""",
     "observations",
 )
 def g13(spark, sf):
@@ -227,7 +241,8 @@ def g13(spark, sf):
         "observation_id", "step", F.when(F.col("step") % 41 != 0, F.col("sequence_id")).alias("sequence_id"), (F.col("step") % 43 != 0).alias("pose_ok")
     )
     leaked = broken(queries.filter(F.col("step") % 25 == 0))
-    return ev.disjoint_check(broken(memory).unionByName(leaked), broken(queries))
+    model = lambda df, revision: df.withColumn("model_id", F.lit("encoder")).withColumn("model_revision", F.lit(revision))
+    return ev.disjoint_check(model(broken(memory).unionByName(leaked), "r1"), model(broken(queries), "r2"))
 
 
 _TEMPORAL = """
