@@ -261,6 +261,17 @@ def test_planted_passages(spark):
     assert {r.doc_id for r in got} | {r.other_id for r in got} == set(range(20))
 
 
+def test_passages_behind_unicode_spaces(spark):
+    word = lambda i: f"w{i * 7919}"
+    passage = [word(i) for i in range(60)]
+    docs = []
+    for d in range(2):  # a word is what ASCII white space cuts out: each pair below is one
+        before = [f"x{d}a{i}{space}y{d}b{i}" for i, space in enumerate("\u00a0\u2003\u3000\u0085\x1c" * 16)]
+        docs.append((d, " ".join([*before[: 80 - 30 * d], *passage, *(f"z{d}c{i}" for i in range(40))])))
+    got = rows(passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert got == [(1, 50, 110, 0, 80, 140, 1.0)]
+
+
 def test_passages_of_odd_rows(spark, odd_docs, no_docs):
     got = passages.repeated_passages(odd_docs).collect()
     assert {(r.doc_id, r.other_id) for r in got} == {(6, 5)}
