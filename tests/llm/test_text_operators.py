@@ -261,6 +261,21 @@ def test_planted_passages(spark):
     assert {r.doc_id for r in got} | {r.other_id for r in got} == set(range(20))
 
 
+def test_verified_passage_with_quoted_sentences():
+    tokens = np.random.default_rng(8).integers(0, 1 << 63, 2000).astype(np.uint64)
+    passage, line, rest = tokens[:56], tokens[:21], tokens[56:]
+    mine = np.concatenate([rest[:30], passage, rest[30:60]])
+    for quote in (line, passage[-21:], passage[20:41]):  # far before and after the passage, and often
+        other = np.concatenate([quote, rest[100:300], quote, rest[300:400], passage, rest[400:500], quote, rest[500:600], quote])
+        at = 2 * 21 + 300
+        assert passages.verify(mine, passages.Places(other), passages.Windows()) == [(30, 86, at, at + 56, 1.0)]
+    # A changed token in the passage, and a line after it that the other text holds elsewhere.
+    other = np.concatenate([rest[100:121], rest[200:400], passage])
+    changed = np.concatenate([passage[:28], rest[70:72], passage[30:], rest[100:121]])
+    got = passages.verify(changed, passages.Places(other), passages.Windows())
+    assert [g[:4] for g in got] == [(0, 56, 221, 277)] and got[0][4] == 54 / 58
+
+
 def test_passages_behind_unicode_spaces(spark):
     word = lambda i: f"w{i * 7919}"
     passage = [word(i) for i in range(60)]
