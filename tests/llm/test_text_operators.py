@@ -261,6 +261,20 @@ def test_planted_passages(spark):
     assert {r.doc_id for r in got} | {r.other_id for r in got} == set(range(20))
 
 
+def test_recall_of_lone_near_copies(spark):
+    """2,000 pairs of one altered word, of similarity 0.80 to 0.84, that share nothing with others."""
+    rng = np.random.default_rng(9)
+    docs = []
+    for i in range(2000):
+        words = [f"w{x}" for x in rng.integers(0, 10**12, int(rng.integers(50, 61)))]
+        docs.append((2 * i, " ".join(words)))
+        words[int(rng.integers(15, 35))] = "other"
+        docs.append((2 * i + 1, " ".join(words)))
+    got = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    assert all(r.similarity < 0.85 and r.doc_id // 2 == r.other_id // 2 for r in got)
+    assert len({r.doc_id // 2 for r in got}) >= 1998
+
+
 def test_verified_passage_with_quoted_sentences():
     tokens = np.random.default_rng(8).integers(0, 1 << 63, 2000).astype(np.uint64)
     passage, line, rest = tokens[:56], tokens[:21], tokens[56:]
