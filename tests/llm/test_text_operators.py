@@ -261,6 +261,23 @@ def test_planted_passages(spark):
     assert {r.doc_id for r in got} | {r.other_id for r in got} == set(range(20))
 
 
+def test_exact_repeats_around_a_common_line(spark):
+    """Pairs share 50 words, of which 44 are a line that 200 other documents hold too."""
+    rng = np.random.default_rng(10)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**12, n)]
+    line, docs = words(44), []
+    for i in range(200):
+        docs.append(words(30) + line + words(30))
+    for i in range(60):
+        left = i % 7
+        before, after = words(left), words(6 - left)
+        for _ in range(2):
+            docs.append(words(30) + before + line + after + words(30))
+    table = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string").repartition(5)
+    got = {frozenset((r.doc_id, r.other_id)) for r in passages.repeated_passages(table).collect() if r.similarity == 1}
+    assert {frozenset((200 + 2 * i, 201 + 2 * i)) for i in range(60)} <= got
+
+
 def test_recall_of_lone_near_copies(spark):
     """2,000 pairs of one altered word, of similarity 0.80 to 0.84, that share nothing with others."""
     rng = np.random.default_rng(9)
