@@ -3,8 +3,8 @@
 The base patterns give the labelled credentials.  For each kind a probabilistic automaton is
 inferred: the prefix tree of a bounded sample of its credentials over character classes, whose
 states are merged while their outgoing frequencies agree within Hoeffding's bound.  Every other
-token that has the shape of a credential is scored by the best automaton against a chain fitted on
-ordinary tokens; those above ``threshold`` nats per character are reported as kind ``format``.
+token that has the shape of a credential is scored by the best automaton against a chain counted over
+all ordinary tokens, a long one in stretches that cover it; those above ``threshold`` nats per character are reported as kind ``format``.
 The text is read once; the spans and tokens found are kept in the shared folder.
 """
 
@@ -35,13 +35,15 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # whole runs, so the same as [0-9a-f]+ of 32
 KINDS = ("assign", "access", "hex", "format")
 
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+PART = re.compile(r"[A-Za-z0-9]{16,}")  # of a long token
 # A quick test that every text with a base match or a token passes.
 MAYBE = r"(?i:password|passwd|secret|token|api_?key)|AKIA|[A-Za-z0-9+/_=-]{16}"
 
 
 @dataclass(frozen=True)
 class Format:
-    """``sample`` credentials per kind (and five times as many ordinary tokens) are fitted."""
+    """``sample`` credentials per kind are fitted, by their first ``longest`` characters; tokens are
+    scored whole, longer ones in stretches of ``longest``, ``longest / 4`` and parts between marks."""
 
     sample: int = 400
     longest: int = 128
@@ -172,11 +174,11 @@ class Automaton:
 
     def log_likelihood(self, word: str) -> float:
         at, total = 0, 0.0
-        for c in word:
+        for i, c in enumerate(word, 1):
             n = self.count[at]
             total += math.log((self.freq[at][c] + 1e-3) / (n + 1e-2))
             if c not in self.next[at]:
-                return total - 20.0
+                return total - 20.0 - 4.0 * (len(word) - i)  # the rest as chance
             at = self.next[at][c]
         return total + math.log((self.final[at] + 1e-3) / (self.count[at] + 1e-2))
 
@@ -194,29 +196,54 @@ class SecretModel:
             total += math.log((seen[b] + 0.5) / (sum(seen.values()) + 5))
         return total
 
+    def _above(self, shape: str) -> bool:
+        best = max(a.log_likelihood(shape) for a in self.automata)
+        return (best - self.ordinary(shape)) / len(shape) > self.how.threshold
+
     def is_secret(self, token: str) -> bool:
-        shape = classes(token[: self.how.longest])
+        """Whether the token, or of one longer than ``longest`` any stretch, scores as a credential.
+
+        Stretches overlap by half, so every character counts, and so do the parts between marks."""
         if not self.automata:
             return False
-        best = max(a.log_likelihood(shape) for a in self.automata)
-        return (best - self.ordinary(shape)) / len(shape) > self.how.threshold
+        shape, longest = classes(token), self.how.longest
+        if len(shape) <= longest:
+            return self._above(shape)
+        stretches = {p for p in PART.findall(shape) if len(p) <= longest}
+        for wide in (longest, longest // 4):
+            stretches.update(shape[a : a + wide] for a in [*range(0, len(shape) - wide, wide // 2), len(shape) - wide])
+        return any(map(self._above, sorted(stretches)))
+
+
+def steps(scanned: DataFrame) -> DataFrame:
+    """(a, b, n): how often class b follows class a in all tokens, per task; at most one row for
+    each of the few pairs of classes."""
+
+    def run(batches):
+        seen: Counter = Counter()
+        for batch in batches:
+            for tokens in batch.column(0).to_pylist():
+                for t in tokens or ():
+                    shape = classes(t["value"])
+                    seen.update(zip("^" + shape, shape + "$"))
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen]), pa.array([k[1] for k in seen]), pa.array(list(seen.values()), pa.int64())], ["a", "b", "n"])
+
+    return scanned.select("tokens").mapInArrow(run, "a string, b string, n long")
 
 
 def learn(scanned: DataFrame, how: Format = Format()) -> SecretModel:
     """Automata of the kinds that have at least five credentials, from bounded samples."""
     base = scanned.select(F.explode("found").alias("f")).select("f.kind", "f.value")
-    plain = scanned.select(F.explode("tokens").alias("t")).select(F.lit(3).alias("kind"), "t.value")
-    values = cut_lineage(base.unionByName(plain).distinct(), "credentials")
+    values = cut_lineage(base.distinct(), "credentials")
     automata, chain = [], defaultdict(Counter)
-    for kind in range(4):
-        rows = values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(how.sample * (5 if kind == 3 else 1)).collect()
-        words = [classes(r["value"][: how.longest]) for r in rows]
-        if kind < 3 and len(words) >= 5:
-            automata.append(Automaton(words, how.doubt))
-        if kind == 3:
-            for w in words:
-                for a, b in zip("^" + w, w + "$"):
-                    chain[a][b] += 1
+    for kind in range(3):
+        rows = values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(how.sample).collect()
+        if len(rows) >= 5:
+            automata.append(Automaton([classes(r["value"][: how.longest]) for r in rows], how.doubt))
+    if automata:
+        for r in steps(scanned).groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
+            chain[r["a"]][r["b"]] = r["n"]
     return SecretModel(automata, dict(chain), how)
 
 

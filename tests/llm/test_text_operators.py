@@ -162,6 +162,21 @@ def test_learnt_formats():
     assert not model.is_secret("session-2025-overview")
 
 
+def test_credentials_behind_long_runs(spark):
+    rng = np.random.default_rng(4)
+    hexes = ["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(200)]
+    paths = ["/".join(f"{w}-{i}" for w in ("chapter", "session", "version", "overview", "appendix", "candidate")) for i in range(3000)]
+    docs = [(i, f"token: {h}") for i, h in enumerate(hexes)] + [(1000 + i, f"see {p} now") for i, p in enumerate(paths)]
+    scanned = secrets.scan(spark.createDataFrame(docs, "doc_id long, text string"))
+    model = secrets.learn(scanned)
+    assert sum(model.chain["^"].values()) == 3000  # every token, not a sample
+    long = "/".join(["chapter-1/session-2/overview-3/appendix"] * 6)
+    secret = "9F86D081884C7D659A2FEAA0C55AD015".lower()
+    assert not model.is_secret(long)
+    assert model.is_secret(f"{long}/{secret}") and model.is_secret(f"{long}/{secret}/{long}")
+    assert not model.is_secret(f"{long}/{long}")
+
+
 def test_redaction(spark, odd_docs):
     got = {r.doc_id: r for r in secrets.redact(odd_docs).collect()}
     assert "24be6443" not in got[8].text and "[SECRET]" in got[8].text and got[2].text is None
