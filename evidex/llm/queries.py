@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from evidex.llm import bpe, licenses, maxscore, mixing, passages, projections, quality, secrets, simhash, toxicity
+from evidex.llm import (
+    alignment, bpe, divergence, licenses, maxscore, mixing, passages, projections, quality, secrets, simhash, toxicity, warc,
+)
 from evidex.llm.common import table, tokenizer_dir
 
 QUERIES = {}
@@ -67,6 +69,28 @@ def op10_entropy_balanced_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_token_alignment(spark, sf_dir):
+    vocabularies = (f"{tokenizer_dir()}/{name}" for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align_documents(table(spark, sf_dir, "documents"), *vocabularies)
+
+
+@query
+def op12_warc_round_trip(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op12_warc_round_trip"] = warc.ORACLE
+
+
+@query
+def op13_source_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_source_divergence"] = divergence.ORACLE
+
+
 def queries():
     return dict(QUERIES)
 
