@@ -1,4 +1,4 @@
-"""Streaming queries over the event table split into files."""
+"""Streaming queries over the event table, replayed in several triggers."""
 
 from __future__ import annotations
 
@@ -7,58 +7,86 @@ from pyspark.sql import functions as F
 from evidex.plans.registry import query
 from evidex.plans.relations import recordings, table
 from evidex.session import scratch_path
-from evidex.streaming import jobs
+from evidex.streaming import jobs, uploads
+
+TRIGGERS = 3
+# The last instant that the watermark of a replay reaches, but for its delay.
+_SEEN = "(select date_trunc('milliseconds', max(ts)) from events)"
+
+
+def timed_events(spark, sf):
+    return table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def replayed(events, triggers=TRIGGERS):
+    """The events in ``triggers`` slices of equal time, then some of the first slice once more: too late
+    to count, whatever the query."""
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    if first is None:
+        return [events]
+    step = F.expr(f"make_interval(0, 0, 0, 0, 0, 0, {(last - first).total_seconds() / triggers:.6f})")
+    bounds = [F.lit(first) + i * step for i in range(1, triggers)]
+    slices = [
+        events.where((F.lit(True) if i == 0 else F.col("ts") >= bounds[i - 1]) & (F.lit(True) if i == triggers - 1 else F.col("ts") < bounds[i]))
+        for i in range(triggers)
+    ]
+    late = slices[0].where("event_id % 50 = 0").withColumn("event_type", F.lit("late"))
+    return [*slices, late]
+
+
+def upload_events(spark, sf):
+    """A user's events of one day as those of an upload created at its beginning."""
+    day = F.date_trunc("day", "ts")
+    return timed_events(spark, sf).select(
+        "event_id", F.format_string("u%d-%s", "user_id", F.date_format(day, "yyyy-MM-dd")).alias("upload_id"), day.alias("created_at"), "ts", "event_type",
+        F.col("event_type").isin("view", "click").alias("done"), (F.lit(40) + F.col("user_id") % 50).alias("total"),
+    )
 
 
-def event_stream(spark, sf, files=8, per_trigger=None):
-    """The events as a file stream, in several files and triggers."""
-    rows = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    path = scratch_path(spark, "events")
-    rows.repartitionByRange(files, "event_id").write.parquet(path)
-    reader = spark.readStream.schema(rows.schema)
-    return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).parquet(path)
+def tracked_uploads(spark, sf, name):
+    with uploads.keyed_state(spark):
+        target = jobs.replay(
+            spark, replayed(upload_events(spark, sf)), lambda stream: uploads.tracked_jobs(stream.withColumn("status", F.col("event_type"))), "update", name
+        )
+    return jobs.last_update(jobs.stored_rows(spark, target), ["upload_id"])
 
 
-def settle(spark, stream, mode, name):
-    target = scratch_path(spark, name)
-    jobs.run_available(stream, mode, target)
-    return jobs.stored_rows(spark, target)
+_UPLOADS = f"""with uploads as (
+  select printf('u%d-%s', user_id, strftime(ts, '%Y-%m-%d')) as upload_id, date_trunc('day', ts) as created_at, ts, event_type, event_type in ('view', 'click') as done,
+    40 + user_id % 50 as total from events)"""
 
 
 @query(
     "s01_job_state",
-    "select user_id as upload_id, arg_max(event_type, ts) as status, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as updated_at, count(*) as event_count from events group by 1",
+    f"""{_UPLOADS} select upload_id, max_by(event_type, ts) as status, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as updated_at, count(*) as event_count,
+  max(created_at) + interval 24 hours <= {_SEEN} - interval 1 hour as expired from uploads group by 1""",
 )
 def s01(spark, sf):
-    events = event_stream(spark, sf, per_trigger=3).select(F.col("user_id").alias("upload_id"), "ts", F.col("event_type").alias("status"))
-    rows = jobs.last_update(settle(spark, jobs.job_state(events), "update", "job_state"), ["upload_id"])
-    return rows.withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss"))
+    rows = tracked_uploads(spark, sf, "job_state")
+    return rows.select("upload_id", "status", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"), "event_count", "expired")
 
 
 @query(
     "s02_job_progress",
-    """select user_id as upload_id, sum((event_type in ('view', 'click'))::int) as windows_done, max(40 + user_id % 50) as windows_total,
- round(0.15 + 0.80 * (sum((event_type in ('view', 'click'))::int) / greatest(max(40 + user_id % 50), 1)::double), 6) as progress from events group by 1""",
+    f"""{_UPLOADS} select upload_id, sum(done::int) as windows_done, max(total) as windows_total,
+ round(0.15 + 0.80 * (sum(done::int) / greatest(max(total), 1)::double), 6) as progress from uploads group by 1""",
 )
 def s02(spark, sf):
-    events = event_stream(spark, sf, per_trigger=3).select(
-        F.col("user_id").alias("upload_id"), F.col("event_type").isin("view", "click").alias("done"), (F.lit(40) + F.col("user_id") % 50).alias("total")
-    )
-    rows = jobs.last_update(settle(spark, jobs.job_progress(events), "update", "progress"), ["upload_id"])
-    return rows.withColumn("progress", F.round("progress", 6))
+    rows = tracked_uploads(spark, sf, "progress")
+    return rows.select("upload_id", "windows_done", "windows_total", F.round("progress", 6).alias("progress"))
 
 
 @query(
     "s03_ttl_expiry",
-    """select event_id as upload_id, ts <= (select date_trunc('milliseconds', max(ts)) - interval 24 hours from events) as expired from events""",
+    f"""select event_id as upload_id, ts <= {_SEEN} - interval 24 hours as expired from events""",
 )
 def s03(spark, sf):
     """Every event opens a session; the stream reports the expired ones and the rest live."""
-    sessions = event_stream(spark, sf).select(F.col("event_id").alias("upload_id"), F.col("ts").alias("created_at"))
-    gone = settle(spark, jobs.expired_sessions(sessions), "append", "expiry").select("upload_id", F.lit(True).alias("expired"))
-    return table(spark, sf, "events").select(F.col("event_id").alias("upload_id")).join(gone, "upload_id", "left").select(
-        "upload_id", F.coalesce("expired", F.lit(False)).alias("expired")
-    )
+    sessions = lambda stream: jobs.expired_sessions(stream.select(F.col("event_id").alias("upload_id"), F.col("ts").alias("created_at")))
+    gone = jobs.stored_rows(spark, jobs.replay(spark, replayed(timed_events(spark, sf)), sessions, "append", "expiry"))
+    return table(spark, sf, "events").select(F.col("event_id").alias("upload_id")).join(
+        gone.select("upload_id", F.lit(True).alias("expired")), "upload_id", "left"
+    ).select("upload_id", F.coalesce("expired", F.lit(False)).alias("expired"))
 
 
 @query(
@@ -73,7 +101,9 @@ def s04(spark, sf):
     path = scratch_path(spark, "recordings")
     rows.repartition("video_id").write.parquet(path)
     arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
-    made = settle(spark, jobs.arriving_windows(arriving), "append", "windows")
+    target = scratch_path(spark, "windows")
+    jobs.run_available(jobs.arriving_windows(arriving), "append", target)
+    made = jobs.stored_rows(spark, target)
     return made.select("window_id", "start_s", "end_s", "context_start_s")
 
 
@@ -83,25 +113,24 @@ def s04(spark, sf):
 select strftime(s, '%Y-%m-%d %H:%M:%S') as window_start, strftime(s + interval 4 hours, '%Y-%m-%d %H:%M:%S') as window_end, event_type, count(*) as events from w group by s, event_type""",
 )
 def s05(spark, sf):
-    """One second of a recording is one hour of the clock, as in the action relation.
-
-    The files hold events of all times, so they arrive in one trigger; a later one would find the
-    windows that the watermark has passed closed."""
-    counted = jobs.sliding_counts(event_stream(spark, sf), ["event_type"], "4 hours", "2 hours", "6 hours")
-    rows = jobs.last_update(settle(spark, counted, "update", "sliding"), ["window_start", "window_end", "event_type"])
+    """One second of a recording is one hour of the clock, as in the action relation."""
+    counted = lambda stream: jobs.sliding_counts(stream, ["event_type"], "4 hours", "2 hours", "6 hours")
+    target = jobs.replay(spark, replayed(timed_events(spark, sf)), counted, "update", "sliding")
+    rows = jobs.last_update(jobs.stored_rows(spark, target), ["window_start", "window_end", "event_type"])
     text = lambda n: F.date_format(n, "yyyy-MM-dd HH:mm:ss").alias(n)
     return rows.select(text("window_start"), text("window_end"), "event_type", "events")
 
 
 @query(
     "s05_gap_sessions",
-    """with g as (select user_id, ts, case when lag(ts) over w is null or ts >= lag(ts) over w + interval 6 hours then 1 else 0 end as opens from events window w as (partition by user_id order by ts)),
+    f"""with g as (select user_id, ts, case when lag(ts) over w is null or ts >= lag(ts) over w + interval 6 hours then 1 else 0 end as opens from events window w as (partition by user_id order by ts)),
  s as (select *, sum(opens) over (partition by user_id order by ts) as n from g)
-select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as session_start, strftime(max(ts) + interval 6 hours, '%Y-%m-%d %H:%M:%S') as session_end, count(*) as events from s group by user_id, n
- having max(ts) + interval 6 hours <= (select date_trunc('milliseconds', max(ts)) from events)""",
+select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as session_start, strftime(max(ts) + interval 6 hours, '%Y-%m-%d %H:%M:%S') as session_end, count(*) as events,
+ max(ts) + interval 6 hours > {_SEEN} as is_open from s group by user_id, n""",
 )
 def s05_sessions(spark, sf):
-    """Closed sessions only: append mode emits one when the watermark has passed it."""
-    made = jobs.gap_sessions(event_stream(spark, sf), ["user_id"], "6 hours", "0 seconds")
+    """Closed sessions as the watermark passes them, and those the state still holds open."""
+    made = lambda stream: jobs.gap_sessions(stream, ["user_id"], "6 hours", "0 seconds")
+    target = jobs.replay(spark, replayed(timed_events(spark, sf)), made, "append", "sessions")
     text = lambda n: F.date_format(n, "yyyy-MM-dd HH:mm:ss").alias(n)
-    return settle(spark, made, "append", "sessions").select("user_id", text("session_start"), text("session_end"), "events")
+    return jobs.every_session(spark, target, ["user_id"]).select("user_id", text("session_start"), text("session_end"), "events", "is_open")

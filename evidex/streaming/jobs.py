@@ -5,28 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evidex.operators.windows import windows_keep_tail
+from evidex.session import scratch_path
 
 START_PROGRESS, WINDOW_SHARE = 0.15, 0.80
 TTL = "24 hours"
 
 
-def job_state(events: DataFrame) -> DataFrame:
-    """Latest status per upload (update mode). ``events``: ``upload_id, ts, status``."""
-    latest = F.max_by(F.struct("status", "ts"), F.col("ts")).alias("_l")
-    return events.groupBy("upload_id").agg(latest, F.count("*").alias("event_count")).select(
-        "upload_id", F.col("_l.status").alias("status"), F.col("_l.ts").alias("updated_at"), "event_count"
-    )
-
-
-def job_progress(events: DataFrame) -> DataFrame:
-    """Progress per upload from window-done events ``upload_id, done, total``."""
-    counts = events.groupBy("upload_id").agg(
-        F.sum(F.col("done").cast("long")).alias("windows_done"), F.max("total").alias("windows_total")
-    )
-    share = F.col("windows_done") / F.greatest(F.col("windows_total"), F.lit(1))
-    return counts.withColumn("progress", F.lit(START_PROGRESS) + F.lit(WINDOW_SHARE) * share)
-
-
 def expired_sessions(sessions: DataFrame, ttl: str = TTL) -> DataFrame:
     """Sessions as they pass their time to live (append mode).
 
@@ -65,6 +49,32 @@ def gap_sessions(events: DataFrame, keys: list[str], gap: str, delay: str) -> Da
     )
 
 
+def open_sessions(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
+    """Sessions that a stopped query has seen but not closed, from its state store."""
+    state = spark.read.format("statestore").load(f"{target}/checkpoint").select("value.*")
+    window = F.col("session_window")
+    return state.select(
+        window["start"].alias("session_start"), window["end"].alias("session_end"), *keys, F.col("count").alias("events")
+    )
+
+
+def every_session(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
+    """Closed sessions of the sink and open ones of the state: each event is in one of them."""
+    names = ["session_start", "session_end", *keys, "events"]
+    closed = stored_rows(spark, target).select(*names, F.lit(False).alias("is_open"))
+    return closed.unionByName(open_sessions(spark, target, keys).withColumn("is_open", F.lit(True)))
+
+
+def replay(spark: SparkSession, slices: list[DataFrame], build, mode: str, name: str) -> str:
+    """Feed ``slices`` one after the other to the query ``build(stream)``, which is stopped after each
+    and goes on from its checkpoint; returns its folder."""
+    source, target = scratch_path(spark, f"{name}-source"), scratch_path(spark, name)
+    for rows in slices:
+        rows.write.mode("append").parquet(source)
+        run_available(build(spark.readStream.schema(rows.schema).parquet(source)), mode, target)
+    return target
+
+
 def run_available(stream: DataFrame, mode: str, target: str) -> None:
     """Process what has arrived and stop; restarts continue from the checkpoint.
 
