@@ -1,4 +1,4 @@
-"""Range joins as equi-joins on buckets."""
+"""Range joins as equi-joins on blocks of time and space."""
 
 from __future__ import annotations
 
@@ -12,25 +12,83 @@ def fresh(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
+TOP_LEVEL = 14  # nodes hold up to 2**14 slots; beyond, a longer interval has one node per 2**14
+
+
+def _shift(value: Column, level: Column) -> Column:
+    return F.call_function("shiftright", value, level)
+
+
+def dyadic_cover(low: Column, high: Column) -> Column:
+    """array<struct<level, node>>: disjoint aligned blocks of ``2**level`` slots, numbered ``slot >> level``,
+    that together are the slots ``low`` to ``high``: at most two per level below the top one."""
+    low, after = low.cast("long"), high.cast("long") + 1
+    first = lambda level: -_shift(-low, level)  # the first block of the level that begins at or after low
+    end = lambda level: _shift(after, level)
+    node = lambda level, n: F.struct(level.cast("int").alias("level"), n.alias("node"))
+
+    def ends(level: Column) -> Column:
+        some = first(level) < end(level)
+        return F.array(
+            F.when(some & (first(level).bitwiseAND(F.lit(1)) == 1), node(level, first(level))),
+            F.when(some & (end(level).bitwiseAND(F.lit(1)) == 1), node(level, end(level) - 1)),
+        )
+
+    deepest = F.least(F.lit(TOP_LEVEL - 1), F.length(F.bin(after - low)) - 1)
+    below = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), deepest), ends)), lambda n: n.isNotNull())
+    top = F.lit(TOP_LEVEL)
+    whole = F.when(
+        first(top) < end(top), F.transform(F.sequence(first(top), end(top) - 1), lambda n: node(top, n))
+    ).otherwise(F.array().cast("array<struct<level:int,node:bigint>>"))
+    return F.when(low < after, F.concat(below, whole))
+
+
+def levels_used(cover: Column) -> Column:
+    """The levels of a cover as bits."""
+    return F.aggregate(cover, F.lit(0).cast("long"), lambda bits, n: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), n["level"])))
+
+
+def dyadic_path(slot: Column, levels: Column) -> Column:
+    """array<struct<level, node>>: the blocks that hold a slot, at the levels set in ``levels``."""
+    used = F.filter(F.sequence(F.lit(0), F.lit(TOP_LEVEL)), lambda x: F.call_function("shiftright", levels, x).bitwiseAND(F.lit(1)) == 1)
+    return F.transform(used, lambda x: F.struct(x.cast("int").alias("level"), _shift(slot.cast("long"), x).alias("node")))
+
+
 def interval_join(
     left: DataFrame, right: DataFrame, key: str, left_ends: tuple[str, str], right_ends: tuple[str, str], width: float
 ) -> DataFrame:
-    """Rows of equal ``key`` whose intervals strictly overlap.
+    """Rows of equal ``key`` whose intervals strictly overlap, each pair once.
 
-    Both sides are placed in every time bucket they touch and meet on ``(key,
-    bucket)``; a pair counts only in the bucket of the later start, so none is
-    doubled.  Column names other than ``key`` must differ between the sides.
+    Of two intervals that overlap, one holds the start of the other.  Each side is placed twice: as the
+    dyadic blocks (in slots of ``width``) that cover it, and as the blocks of its start at the levels
+    that covers of the other side use under the same key.  Covers meet starts on ``(key, level, block)``,
+    so an interval is a few rows however long it is, and a start a few rows however many intervals hold
+    it.  Both sides are read twice: store expensive ones first.  Column names other than ``key`` must
+    differ between the sides; rows without key or ends meet nothing.
     """
 
-    def placed(df: DataFrame, ends: tuple[str, str]) -> DataFrame:
-        low, high = F.floor(F.col(ends[0]) / width), F.floor(F.col(ends[1]) / width)
-        return df.withColumn("_bucket", F.explode(F.sequence(low, F.greatest(low, high))))
+    def slots(ends: tuple[str, str]) -> tuple[Column, Column]:
+        low = F.floor(F.col(ends[0]) / width)
+        return low, F.greatest(low, F.floor(F.col(ends[1]) / width))
+
+    def levels(df: DataFrame, ends: tuple[str, str]) -> DataFrame:
+        return df.groupBy(key).agg(F.bit_or(levels_used(dyadic_cover(*slots(ends)))).alias("_levels"))
+
+    def placed(df: DataFrame, ends: tuple[str, str], other: DataFrame, held: int) -> DataFrame:
+        """``held``: the side (0 left, 1 right) whose cover holds the start of the other."""
+        low, high = slots(ends)
+        tagged = lambda nodes, side: F.transform(nodes, lambda n: F.struct(F.lit(side).alias("side"), n["level"].alias("level"), n["node"].alias("node")))
+        nodes = F.concat(tagged(dyadic_cover(low, high), held), tagged(dyadic_path(low, F.col("_levels")), 1 - held))
+        known = [c for c in df.columns]
+        return df.join(other, key).select(*known, F.explode(nodes).alias("_at")).select(
+            *known, F.col("_at.side").alias("_side"), F.col("_at.level").alias("_level"), F.col("_at.node").alias("_node")
+        )
 
-    both = placed(left, left_ends).join(placed(right, right_ends), [key, "_bucket"])
-    later = F.greatest(F.col(left_ends[0]), F.col(right_ends[0]))
-    return both.filter(
-        overlaps(*left_ends, *right_ends) & (F.floor(later / width) == F.col("_bucket"))
-    ).drop("_bucket")
+    both = placed(left, left_ends, levels(fresh(right), right_ends), 0).join(
+        placed(right, right_ends, levels(fresh(left), left_ends), 1), [key, "_side", "_level", "_node"]
+    )
+    begins = F.when(F.col("_side") == 0, F.col(left_ends[0]) <= F.col(right_ends[0])).otherwise(F.col(left_ends[0]) > F.col(right_ends[0]))
+    return both.filter(overlaps(*left_ends, *right_ends) & begins).drop("_side", "_level", "_node")
 
 
 def grid_neighbours(left: DataFrame, right: DataFrame, left_point: str, right_point: str, radius: float) -> DataFrame:

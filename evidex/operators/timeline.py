@@ -73,7 +73,7 @@ def overlap_groups(actions: DataFrame) -> DataFrame:
     """Distinct sorted name sets of actions that overlap at least one other.
 
     Actions of one name are first merged to stretches, and each action meets the
-    stretches of its time bucket: the work follows actions and names, not pairs.
+    stretches it overlaps: the work follows actions and names, not pairs.
     An action of its own name counts when an earlier one still runs or a later one
     starts before it ends.  Exact repeats of an action are one action.
     """
@@ -86,12 +86,13 @@ def overlap_groups(actions: DataFrame) -> DataFrame:
     rows = running(actions, key, up, bucket, [Running("_reach", "max", F.col("end_s"), inclusive=False)])
     rows = running(rows, key, down, bucket, [Running("_next", "min", F.col("start_s"), inclusive=False)], reverse=True)
     own = F.coalesce(F.col("_reach") > F.col("start_s"), F.lit(False)) | F.coalesce(F.col("_next") < F.col("end_s"), F.lit(False))
-    rows = rows.withColumn("_own", own)
+    rows = cut_lineage(rows.withColumn("_own", own), "own-overlaps")
     stretches = (
         islands(actions, key, "start_s", "end_s", up, 0.0, BUCKET_S)
         .groupBy("video_id", F.col("name").alias("other"), "island")
         .agg(F.min("start_s").alias("from_s"), F.max("end_s").alias("to_s"))
     )
+    stretches = cut_lineage(stretches, "stretches")
     met = interval_join(
         rows.select("video_id", "pos", "name", "start_s", "end_s"), stretches, "video_id",
         ("start_s", "end_s"), ("from_s", "to_s"), BUCKET_S,
@@ -143,6 +144,7 @@ def interval_answer(requests: DataFrame, overlapping: DataFrame, windows: DataFr
     ``requests``: ``query_id, video_id, from_s, to_s``.
     """
     actions = overlapping.groupBy("video_id", "action_id", "name", "start_s", "end_s").agg(F.min("pos").alias("pos"))
+    actions = cut_lineage(actions, "asked-actions")  # the interval join reads it twice
     ends = ("from_s", "to_s")
     hit = interval_join(requests, actions, "video_id", ends, ("start_s", "end_s"), BUCKET_S)
     named = hit.groupBy("query_id").agg(

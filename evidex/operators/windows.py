@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evidex.functions.intervals import context_end, context_start, overlaps, window_timestamps
 from evidex.functions.text import window_text
+from evidex.operators.joins import dyadic_cover, dyadic_path, fresh, levels_used
 from evidex.operators.scan import Running, ordinal, running
 from evidex.session import cut_lineage, shuffle_partitions
 
@@ -119,12 +120,35 @@ def windows_keep_tail(
     )
 
 
-def _touched(actions: DataFrame, window_s: float, stride_s: float) -> DataFrame:
-    """One row per action and window number it may overlap."""
+SHORT_ACTION = 32  # window numbers up to which an action is one row each
+
+
+def _touched_span(window_s: float, stride_s: float) -> tuple[Column, Column]:
+    """The first and last window number an action may overlap."""
     first = F.greatest(F.lit(0).cast("long"), F.floor((F.col("start_s") - window_s) / stride_s))
-    last = F.greatest(first, F.ceil(F.col("end_s") / stride_s))
-    return actions.select(
-        "video_id", "pos", *ACTION_FIELDS, F.explode(F.sequence(first, last)).alias("window_no")
+    return first, F.greatest(first, F.ceil(F.col("end_s") / stride_s))
+
+
+def _touched(actions: DataFrame, window_s: float, stride_s: float) -> DataFrame:
+    """One row per action and window number it may overlap.  Long actions are cut into blocks of
+    numbers and the blocks spread before they grow, so that no task makes all rows of one."""
+    first, last = _touched_span(window_s, stride_s)
+    spans = actions.select("video_id", "pos", *ACTION_FIELDS, first.alias("_first"), last.alias("_last"))
+    blocks = spans.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_first") / WINDOWS_PER_BLOCK), F.floor(F.col("_last") / WINDOWS_PER_BLOCK))))
+    low = F.greatest(F.col("_first"), F.col("_block") * WINDOWS_PER_BLOCK)
+    high = F.least(F.col("_last"), (F.col("_block") + 1) * WINDOWS_PER_BLOCK - 1)
+    spread = blocks.repartition(shuffle_partitions(actions.sparkSession), "video_id", "_block", "pos")
+    return spread.select("video_id", "pos", *ACTION_FIELDS, F.explode(F.sequence(low, high)).alias("window_no"))
+
+
+def action_nodes(actions: DataFrame, window_s: float = WINDOW_S, stride_s: float = STRIDE_S) -> DataFrame:
+    """Actions on the blocks of window numbers they may overlap, as ``_level, _node``: single numbers
+    for an action of up to ``SHORT_ACTION`` windows, dyadic blocks for a longer one."""
+    first, last = _touched_span(window_s, stride_s)
+    single = F.transform(F.sequence(first, last), lambda n: F.struct(F.lit(0).alias("level"), n.alias("node")))
+    nodes = F.when(last - first < SHORT_ACTION, single).otherwise(dyadic_cover(first, last))
+    return actions.select("video_id", "pos", *ACTION_FIELDS, F.explode(nodes).alias("_at")).select(
+        "video_id", "pos", *ACTION_FIELDS, F.col("_at.level").alias("_level"), F.col("_at.node").alias("_node")
     )
 
 
@@ -133,15 +157,22 @@ def window_action_overlap(
 ) -> DataFrame:
     """One row per window and action that overlap.
 
-    An action knows which window numbers it can touch, so both sides meet on the
-    equality ``(video_id, window_no)``: no range join, and a long recording
-    spreads over the tasks.  The exact test stays as a residual filter.
+    An action knows which window numbers it can touch and is placed on blocks of them; a window is
+    placed on its own number and, in recordings with long actions, on the larger blocks they use.  Both
+    meet on ``(video_id, level, block)``: no range join, a long action is a few rows, and a long
+    recording spreads over the tasks.  The exact test stays as a residual filter.
     """
     sides = windows.select(
         *[c for c in windows.columns if c not in ("start_s", "end_s")],
         F.col("start_s").alias("window_start_s"), F.col("end_s").alias("window_end_s"),
     )
-    return sides.join(_touched(actions, window_s, stride_s), ["video_id", "window_no"]).filter(
+    first, last = _touched_span(window_s, stride_s)
+    long = fresh(actions).where(last - first >= SHORT_ACTION)
+    used = long.groupBy("video_id").agg(F.bit_or(levels_used(dyadic_cover(first, last))).alias("_used"))
+    levels = F.coalesce(F.col("_used"), F.lit(0).cast("long")).bitwiseOR(F.lit(1).cast("long"))
+    placed = sides.join(used, "video_id", "left").select(*sides.columns, F.explode(dyadic_path(F.col("window_no"), levels)).alias("_at"))
+    placed = placed.select(*sides.columns, F.col("_at.level").alias("_level"), F.col("_at.node").alias("_node"))
+    return placed.join(action_nodes(actions, window_s, stride_s), ["video_id", "_level", "_node"]).drop("_level", "_node").filter(
         overlaps("start_s", "end_s", "window_start_s", "window_end_s")
     )
 
