@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evidex.functions.intervals import overlaps
+from evidex.session import cut_lineage
 
 
 def fresh(df: DataFrame) -> DataFrame:
@@ -91,20 +92,59 @@ def interval_join(
     return both.filter(overlaps(*left_ends, *right_ends) & begins).drop("_side", "_level", "_node")
 
 
-def grid_neighbours(left: DataFrame, right: DataFrame, left_point: str, right_point: str, radius: float) -> DataFrame:
-    """Candidate pairs of 3-d points at most one cell of side ``radius`` apart.
+CELL = ["_cx", "_cy", "_cz"]
+BLOCK_ROWS = 4096  # rows of a side that meet those of the other in one group
 
-    Only the left side is copied to the 27 cells around its own, so every pair
-    appears once; the caller filters by the exact distance.
-    """
 
-    def cells(point: str) -> list[Column]:
-        return [F.floor(F.element_at(point, i) / radius) for i in (1, 2, 3)]
+def _cells(df: DataFrame, point: str, radius: float) -> DataFrame:
+    for at, name in enumerate(CELL, 1):
+        df = df.withColumn(name, F.floor(F.element_at(point, at) / radius))
+    return df
+
+
+def _around(df: DataFrame) -> DataFrame:
+    """Each row in the 27 cells around its own."""
+    for name in CELL:
+        df = df.withColumn(name, F.explode(F.sequence(F.col(name) - 1, F.col(name) + 1)))
+    return df
+
+
+def _heavy_cells(still: DataFrame, moved: DataFrame, block_rows: int) -> DataFrame:
+    """``_still, _moved``: into how many blocks either side of a cell is dealt, where that is more than
+    one.  At most a row per ``block_rows`` rows of a side."""
+    own = still.groupBy(*CELL).agg(F.count("*").alias("_n"))
+    near = _around(moved.groupBy(*CELL).agg(F.count("*").alias("_m"))).groupBy(*CELL).agg(F.sum("_m").alias("_m"))
+    parts = lambda n: F.ceil(F.col(n) / block_rows).cast("int")
+    both = own.join(near, CELL).select(*CELL, parts("_n").alias("_still"), parts("_m").alias("_moved"))
+    return cut_lineage(both.where("_still > 1 or _moved > 1"), "heavy-cells")
+
 
-    near = left
-    for name, cell in zip(("_cx", "_cy", "_cz"), cells(left_point)):
-        near = near.withColumn(name, F.explode(F.sequence(cell - 1, cell + 1)))
-    own = right
-    for name, cell in zip(("_cx", "_cy", "_cz"), cells(right_point)):
-        own = own.withColumn(name, cell)
-    return near.join(own, ["_cx", "_cy", "_cz"]).drop("_cx", "_cy", "_cz")
+def _dealt(df: DataFrame, heavy: DataFrame, own: str, other: str) -> DataFrame:
+    """Rows in their block of the cell, once for every block of the other side."""
+    columns = [c for c in df.columns]
+    known = df.withColumn("_deal", F.xxhash64(*columns)).join(heavy, CELL, "left")
+    block = F.coalesce(F.pmod(F.col("_deal"), F.col(own)).cast("int"), F.lit(0))
+    blocks = F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1)
+    return known.select(*columns, block.alias(f"{own}_block"), F.explode(blocks).alias(f"{other}_block"))
+
+
+def grid_neighbours(
+    left: DataFrame, right: DataFrame, left_point: str, right_point: str, radius: float,
+    copied: str = "left", block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Candidate pairs of 3-d points at most one cell of side ``radius`` apart.
+
+    Only one side (``copied``, the smaller one) is copied to the 27 cells around its own, so every pair
+    appears once; the caller filters by the exact distance.  A cell that holds more than ``block_rows``
+    rows of a side is cut: both sides are dealt into blocks by hash and every two blocks meet as a group
+    of their own, so a crowded cell is shared by many tasks.  Both sides are read twice.
+    """
+    sides = (left, left_point), (right, right_point)
+    (moved, moved_point), (still, still_point) = sides if copied == "left" else sides[::-1]
+    heavy = _heavy_cells(
+        _cells(fresh(still).select(still_point), still_point, radius), _cells(fresh(moved).select(moved_point), moved_point, radius), block_rows
+    )
+    near = _dealt(_around(_cells(moved, moved_point, radius)), heavy, "_moved", "_still")
+    own = _dealt(_cells(still, still_point, radius), heavy, "_still", "_moved")
+    blocks = ["_moved_block", "_still_block"]
+    return near.join(own, [*CELL, *blocks]).drop(*CELL, *blocks)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from evidex.functions.poses import (
     flatten_rotation, is_camera_pose, quaternion_angle_rad, rotation_error_deg, translation_error_m, translation_of,
 )
-from evidex.operators.joins import grid_neighbours
+from evidex.operators.joins import BLOCK_ROWS, grid_neighbours
 from evidex.operators.scan import ordinal
 from evidex.session import cut_lineage
 
@@ -46,10 +46,14 @@ def _side(df: DataFrame, prefix: str, extra: list[str]) -> DataFrame:
     )
 
 
-def pose_join(queries: DataFrame, memory: DataFrame, metres: float, degrees: float, memory_columns: list[str] | None = None) -> DataFrame:
-    """Pairs within both limits, found through grid cells of the distance limit."""
+def pose_join(
+    queries: DataFrame, memory: DataFrame, metres: float, degrees: float, memory_columns: list[str] | None = None,
+    copied: str = "left", block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Pairs within both limits, found through grid cells of the distance limit; ``copied``: the side
+    (left: queries) that is copied to the cells around, the one of fewer rows."""
     near = grid_neighbours(
-        _side(queries, "q", []), _side(memory, "m", memory_columns or []), "q_translation", "m_translation", metres
+        _side(queries, "q", []), _side(memory, "m", memory_columns or []), "q_translation", "m_translation", metres, copied, block_rows
     )
     errors = with_pose_errors(near, "q", "m")
     return errors.filter((F.col("translation_error_m") <= metres) & (F.col("rotation_error_deg") <= degrees)).drop(
@@ -172,18 +176,30 @@ def _pick_large(rows: DataFrame, group: str, index: str, count: int) -> DataFram
     return picks
 
 
-def propagate_labels(records: DataFrame, representatives: DataFrame, metres: float = 0.5, degrees: float = 45.0) -> DataFrame:
-    """Label of the qualifying representative with the least joint cost.
+_ORDERS = 10**20  # above every shifted order of a representative
+
+
+def propagate_labels(
+    records: DataFrame, representatives: DataFrame, metres: float = 0.5, degrees: float = 45.0, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Label of the qualifying representative with the least joint cost, the first of equal ones.
 
-    ``representatives``: ``observation_id, translation, rotation, label, rep_order``.
+    ``representatives``: ``observation_id, translation, rotation, label, rep_order``, few beside the
+    records: they are copied to the cells around them.  Cost (at nine digits) and order are packed into
+    one number, whose running minimum per record is kept while pairs are made; only that is shuffled.
     """
     labelled = representatives.filter(F.coalesce("label", F.lit(UNASSIGNED)) != UNASSIGNED)
-    near = pose_join(records, labelled, metres, degrees, ["label", "rep_order"])
+    near = pose_join(records, labelled, metres, degrees, ["rep_order"], "right", block_rows)
     cost = F.pow(F.col("translation_error_m") / metres, 2) + F.pow(F.col("rotation_error_deg") / degrees, 2)
-    best = near.groupBy(F.col("q_id").alias("observation_id")).agg(
-        F.min_by("m_label", F.struct(F.round(cost, 9).alias("c"), "m_rep_order")).alias("label")
+    wide = lambda c: c.cast("decimal(38,0)")
+    shifted = wide(F.col("m_rep_order").cast("long")) + wide(F.lit(2**63 - 1))
+    packed = wide(F.round(cost * 1e9).cast("long")) * wide(F.lit(str(_ORDERS))) + shifted
+    best = near.groupBy(F.col("q_id").alias("observation_id")).agg(F.min(packed).alias("_best")).select(
+        "observation_id", (F.col("_best") % wide(F.lit(str(_ORDERS))) - wide(F.lit(2**63 - 1))).cast("long").alias("rep_order")
     )
-    return records.select("observation_id").join(best, "observation_id", "left").withColumn(
+    labels = labelled.groupBy(F.col("rep_order").cast("long").alias("rep_order")).agg(F.min("label").alias("label"))
+    found = best.join(labels, "rep_order").select("observation_id", "label")
+    return records.select("observation_id").join(found, "observation_id", "left").withColumn(
         "label", F.coalesce("label", F.lit(UNASSIGNED))
     )
 

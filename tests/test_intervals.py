@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evidex.operators import joins, timeline, windows
+from evidex.operators import joins, places, timeline, windows
 
 
 def covers(spark, spans):
@@ -83,3 +83,67 @@ def test_overlap_groups_of_a_long_action(spark):
     actions = spark.createDataFrame(rows, "video_id string, pos long, action_id string, name string, start_s double, end_s double")
     found = {(r.video_id, tuple(r.names)) for r in timeline.overlap_groups(actions).collect()}
     assert found == {("v", ("a", "all day", "b", "c")), ("v", ("a", "all day", "b")), ("v", ("all day", "c"))}
+
+
+# --- crowded cells
+
+
+@pytest.fixture(scope="module")
+def still_camera(spark):
+    """Poses of which nearly a third come from one spot."""
+    rng = np.random.default_rng(11)
+    points = np.vstack([rng.uniform(-4, 4, (420, 3)), [1.1, 1.1, 1.1] + rng.uniform(0, 0.05, (180, 3))])
+    angle = rng.uniform(-3, 3, 600)
+    rows = [
+        (f"o{i}", [float(x) for x in p], [float(x) for x in (np.cos(a), -np.sin(a), 0, np.sin(a), np.cos(a), 0, 0, 0, 1)], i)
+        for i, (p, a) in enumerate(zip(points, angle))
+    ]
+    return rows, spark.createDataFrame(rows, "observation_id string, translation array<double>, rotation array<double>, step long")
+
+
+def gap(a, b):
+    distance = float(np.linalg.norm(np.subtract(a[1], b[1])))
+    cosine = (float(np.dot(a[2], b[2])) - 1) / 2
+    return distance, float(np.degrees(np.arccos(np.clip(cosine, -1, 1))))
+
+
+@pytest.mark.parametrize("copied, block_rows", [("left", 4096), ("left", 20), ("right", 20), ("right", 7)])
+def test_pose_join_of_a_still_camera(spark, still_camera, copied, block_rows):
+    rows, frame = still_camera
+    queries, memory = [r for r in rows if r[3] % 5 == 0], [r for r in rows if r[3] % 5]
+    made = places.pose_join(frame.where("step % 5 = 0"), frame.where("step % 5 <> 0"), 0.5, 30.0, copied=copied, block_rows=block_rows)
+    want = {(q[0], m[0]) for q in queries for m in memory if (g := gap(q, m))[0] <= 0.5 and g[1] <= 30}
+    found = [(r.q_id, r.m_id) for r in made.collect()]
+    assert len(found) == len(want) and set(found) == want
+
+
+def test_a_crowded_cell_fills_many_tasks(spark, still_camera):
+    _, frame = still_camera
+    side = lambda p, rows: rows.select(F.col("observation_id").alias(f"{p}_id"), F.col("translation").alias(f"{p}_point"), "step")
+    spot = side("m", frame.where("step >= 420")).drop("step")
+    other = side("q", frame.where("step >= 420")).drop("step")
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # which would put such small groups together
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for block_rows, tasks in ((4096, 1), (20, 6)):
+            pairs = joins.grid_neighbours(other, spot, "q_point", "m_point", 0.5, block_rows=block_rows)
+            sizes = [r["count"] for r in pairs.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+            assert sum(sizes) == 180 * 180 and (len(sizes) == 1 if tasks == 1 else len(sizes) >= tasks and max(sizes) < sum(sizes) / 3)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("block_rows", [4096, 10])
+def test_propagated_labels_of_a_still_camera(spark, still_camera, block_rows):
+    rows, frame = still_camera
+    reps = [(*r[:3], None if r[3] % 7 == 0 else "unassigned" if r[3] % 5 == 0 else f"zone-{r[3] % 3}", r[3] - 300) for r in rows if r[3] % 4 == 1]
+    made = places.propagate_labels(
+        frame, spark.createDataFrame(reps, "observation_id string, translation array<double>, rotation array<double>, label string, rep_order int"), block_rows=block_rows
+    )
+    want = {}
+    for r in rows:
+        near = [(round((d / 0.5) ** 2 + (a / 45) ** 2, 9), m[4], m[3]) for m in reps if m[3] not in (None, "unassigned") for d, a in [gap(r, m)] if d <= 0.5 and a <= 45]
+        want[r[0]] = min(near)[2] if near else "unassigned"
+    assert {r.observation_id: r.label for r in made.collect()} == want
