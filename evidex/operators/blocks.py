@@ -40,8 +40,7 @@ class ScanSpec:
     a query with ``q_anywhere`` meets all); with ``group`` the best rows are kept per value
     of that memory column; with ``poses`` both sides carry ``translation`` and
     ``rotation`` and kept rows get their pose errors; ``thresholds`` (name, metres,
-    degrees) count the rows within them and find the nearest pose, over all rows;
-    with ``random_seed`` the order is a seeded pseudo-random one, not the score.
+    degrees) count the rows within them and find the nearest pose, over all rows.
     """
 
     k: int
@@ -50,7 +49,6 @@ class ScanSpec:
     scoped: bool = False
     group: str | None = None
     poses: bool = False
-    random_seed: int | None = None
     thresholds: tuple[tuple[str, float, float], ...] = field(default=())
 
     def schema(self) -> str:
@@ -58,8 +56,6 @@ class ScanSpec:
         if self.group:
             parts.append(f"{self.group} string")
         parts += ["ord long", "score double"]
-        if self.random_seed is not None:
-            parts.append("draw long")
         parts += [f"{name} {kind}" for name, kind in self.payload]
         if self.poses:
             parts += ["translation_error_m double", "rotation_error_deg double"]
@@ -72,22 +68,6 @@ class ScanSpec:
         return [part.split(" ")[0] for part in self.schema().split(", ")]
 
 
-# Fixed values of the pseudo-random order: a prime modulus and three multipliers.
-DRAW_MODULUS, DRAW_QUERY, DRAW_ROW, DRAW_SEED = 2_147_483_647, 48_271, 69_621, 742_938_285
-
-
-def draw_order(query: np.ndarray, row: np.ndarray, seed: int) -> np.ndarray:
-    """Seeded pseudo-random numbers of all (query, row) pairs.
-
-    The fifth power is a permutation modulo this prime, so two rows of a query
-    never draw the same number; every product stays below 2**62.
-    """
-    a = (query % DRAW_MODULUS * DRAW_QUERY + (seed + 1) * DRAW_SEED) % DRAW_MODULUS
-    x = (a[:, None] + (row % DRAW_MODULUS * DRAW_ROW % DRAW_MODULUS)[None, :]) % DRAW_MODULUS
-    square = x * x % DRAW_MODULUS
-    return square * square % DRAW_MODULUS * x % DRAW_MODULUS
-
-
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in column.to_numpy()])
 
@@ -159,11 +139,7 @@ class BlockScan:
     def _chunk(self, best: _Best, part: slice, vectors: np.ndarray, memory: pd.DataFrame):
         spec = self.spec
         ords = memory["ord"].to_numpy(np.int64)
-        if spec.random_seed is None:
-            score = key = np.round(self.vectors[part] @ vectors.T, SCORE_DIGITS)
-        else:
-            score = np.zeros((part.stop - part.start, len(memory)))
-            key = -draw_order(self.q_ord[part], ords, spec.random_seed).astype(np.float64)
+        score = key = np.round(self.vectors[part] @ vectors.T, SCORE_DIGITS)
         allowed = None
         if spec.exclude_ord:
             allowed = self.q_ord[part][:, None] != ords[None, :]
@@ -221,8 +197,6 @@ class BlockScan:
             if best.rows:
                 rows = {"query_id": self.ids[best.rows["q"]]}
                 rows |= {name: values for name, values in best.rows.items() if name not in ("q", "key")}
-                if spec.random_seed is not None:
-                    rows["draw"] = (-best.rows["key"]).astype(np.int64)
                 frames.append(pd.DataFrame(rows).assign(**({spec.group: group} if spec.group else {})))
             if spec.thresholds:  # one row of totals per query, marked by a null ord
                 totals = {"query_id": self.ids, "nearest_pose_m": best.nearest}
@@ -299,7 +273,6 @@ def scan_blocks(
 def best_rows(partial: DataFrame, spec: ScanSpec) -> DataFrame:
     """Merge the tasks' rows to a 1-based ``rank`` per query (and group)."""
     keys = ["query_id"] + ([spec.group] if spec.group else [])
-    order = F.col("draw").asc() if spec.random_seed is not None else F.col("score").desc()
-    window = Window.partitionBy(*keys).orderBy(order, F.col("ord").asc())
+    window = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("ord").asc())
     ranked = partial.filter(F.col("ord").isNotNull()).withColumn("rank", F.row_number().over(window))
     return ranked.filter(F.col("rank") <= spec.k)

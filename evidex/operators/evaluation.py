@@ -8,8 +8,10 @@ from evidex.functions.intervals import boundary_error, interval_iou
 from evidex.operators import blocks
 from evidex.operators.blocks import ScanSpec, best_rows, scan_blocks
 from evidex.operators.embeddings import normalize
-from evidex.operators.places import RELAXED, STRICT
+from evidex.operators.places import RELAXED, STRICT, with_pose_errors
 from evidex.operators.quantiles import exact_quantiles
+from evidex.operators.sampling import distinct_ordinals
+from evidex.operators.scan import ordinal
 from evidex.session import cut_lineage
 
 CUTS = (1, 5, 10)
@@ -61,19 +63,34 @@ def pose_retrievals(
     return cut_lineage(ranked, "retrievals")
 
 
-def random_retrievals(
-    queries: DataFrame, memory: DataFrame, seed: int = 42, per_target: bool = False,
-    max_broadcast_rows: int = blocks.MAX_BROADCAST_ROWS,
-) -> DataFrame:
-    """Ten seeded pseudo-random rows per query (and target) without replacement."""
-    spec = ScanSpec(
-        k=max(CUTS), payload=(("observation_id", "string"),), poses=True, random_seed=seed,
-        group="target_sequence_id" if per_target else None,
+def random_retrievals(queries: DataFrame, memory: DataFrame, seed: int = 42, pairs: DataFrame | None = None) -> DataFrame:
+    """Ten seeded pseudo-random rows per query without replacement, in random order, with pose errors.
+
+    ``pairs`` (query_id, target_sequence_id), as of ``pose_retrievals`` per target: ten rows of each of
+    these targets instead.  Ordinals are drawn by arithmetic and meet the numbered rows of memory in
+    one equality join of ten rows per query; no other pair is made."""
+    keys = [] if pairs is None else ["target_sequence_id"]
+    rows = memory.select("observation_id", "ord", "translation", "rotation", F.col("sequence_id").alias("target_sequence_id"))
+    placed = ordinal(rows, keys, [F.col("ord")], F.floor(F.col("ord") / 65536), "_ordinal")
+    asked = queries.select(
+        F.col("observation_id").alias("query_id"), F.col("ord").alias("_key"),
+        F.col("translation").alias("q_translation"), F.col("rotation").alias("q_rotation"),
     )
-    rows = memory.select(
-        "observation_id", "ord", "vector", "translation", "rotation", F.col("sequence_id").alias("target_sequence_id")
+    if pairs is None:
+        sized = asked.withColumn("_n", rows.agg(F.count("*")).scalar())
+    else:
+        sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+        sized = asked.join(pairs.select("query_id", *keys).distinct(), "query_id").join(sizes, keys)
+    drawn = sized.select(
+        "query_id", *keys, "q_translation", "q_rotation",
+        F.posexplode(distinct_ordinals(F.col("_key"), F.col("_n"), max(CUTS), seed)).alias("_at", "_d"),
+    ).select(
+        "query_id", *keys, "q_translation", "q_rotation", (F.col("_at") + 1).alias("rank"), F.col("_d.draw").alias("draw"),
+        F.col("_d.ordinal").alias("_ordinal"),
     )
-    return best_rows(scan_blocks(_query_side(queries), rows, spec, max_broadcast_rows), spec)
+    names = {"translation": "m_translation", "rotation": "m_rotation"}
+    picked = drawn.join(placed.withColumnsRenamed(names).drop(*({"target_sequence_id"} - set(keys))), [*keys, "_ordinal"])
+    return with_pose_errors(picked, "q", "m").drop("_ordinal", "q_translation", "q_rotation", "m_translation", "m_rotation")
 
 
 def _hits(prefix: str = "") -> list[Column]:

@@ -14,11 +14,29 @@ from evidex.plans.relations import (
 _P = 2147483647
 _SCORED = f"""
 o as (select *, step as ord, embedding::double[] as v, list_transform(embedding::double[], lambda x: x / sqrt(list_dot_product(embedding::double[], embedding::double[]))) as u from observations),
-sc0 as (select q.observation_id as query_id, q.step as q_ord, m.ord, m.observation_id, m.sequence_id as target_sequence_id, round(list_dot_product(q.u, m.v), 9) as s,
-   {distance_sql('q', 'm')} as d, {angle_sql('q', 'm')} as a,
-   ((((q.step % {_P}) * 48271 + 43::bigint * 742938285) % {_P}) + (m.ord % {_P}) * 69621 % {_P}) % {_P} as x
-  from o q join o m on q.split = 'query' and m.split = 'memory'),
-sc as (select * exclude (x), (x * x % {_P}) * (x * x % {_P}) % {_P} * x % {_P} as draw from sc0)"""
+sc as (select q.observation_id as query_id, q.step as q_ord, m.ord, m.observation_id, m.sequence_id as target_sequence_id, round(list_dot_product(q.u, m.v), 9) as s,
+   {distance_sql('q', 'm')} as d, {angle_sql('q', 'm')} as a
+  from o q join o m on q.split = 'query' and m.split = 'memory')"""
+
+
+def _draw_sql(counter: str) -> str:
+    x = f"(((q_ord % {_P}) * 48271 + 43::bigint * 742938285) % {_P} + ({counter}) % {_P} * 69621 % {_P}) % {_P}"
+    return f"(({x}) * ({x}) % {_P}) * (({x}) * ({x}) % {_P}) % {_P} * ({x}) % {_P}"
+
+
+def _picks_sql(target: bool) -> str:
+    """``picks``: ten draws without replacement below the number of rows, in random order."""
+    by, keys = ("partition by target_sequence_id", "query_id, target_sequence_id") if target else ("", "query_id")
+    also = ", target_sequence_id" if target else ""
+    return f"""
+placed as (select sequence_id as target_sequence_id, ord, observation_id, row_number() over ({by} order by ord) - 1 as place from o where split = 'memory'),
+sized as (select query_id, q_ord{also}, count(*) as n, least(count(*), 10) as kept from sc group by query_id, q_ord{also}),
+fold as (select *, 0::bigint as i, []::bigint[] as taken from sized
+  union all select query_id, q_ord{also}, n, kept, i + 1, list_append(taken, case when list_contains(taken, t) then n - kept + i else t end)
+  from (select *, (({_draw_sql('2 * i')}) * {_P} + {_draw_sql('2 * i + 1')}) % (n - kept + i + 1) as t from fold where i < kept)),
+chosen as (select query_id, q_ord{also}, unnest(taken) as place from fold where i = kept),
+picks as (select c.query_id, p.ord, {'c.target_sequence_id, ' if target else ''}draw, row_number() over (partition by {', '.join('c.' + k for k in keys.split(', '))} order by draw) as rr
+  from (select *, {_draw_sql('place + 64')} as draw from chosen) c join placed p on p.place = c.place{' and p.target_sequence_id = c.target_sequence_id' if target else ''})"""
 
 
 def _rows_sql(target: bool) -> str:
@@ -28,8 +46,9 @@ def _rows_sql(target: bool) -> str:
         f"bool_or({rank} <= {k} and d <= {m} and a <= 30) as {p}{level}_hit_at_{k}"
         for p, rank in (("", "rk"), ("random_", "rr")) for level, m in (("strict", 0.25), ("relaxed", 0.5)) for k in (1, 5, 10)
     )
-    return f"""{_SCORED},
-rk as (select *, row_number() over (partition by {keys} order by s desc, ord) as rk, row_number() over (partition by {keys} order by draw, ord) as rr from sc),
+    return f"""{_SCORED},{_picks_sql(target)},
+rk as (select sc.*, row_number() over (partition by {', '.join('sc.' + k for k in keys.split(', '))} order by s desc, sc.ord) as rk, rr
+  from sc left join picks on picks.query_id = sc.query_id and picks.ord = sc.ord),
 g as (select {keys}, sum((d <= 0.25 and a <= 30)::int) as strict_relevant_count, sum((d <= 0.5 and a <= 30)::int) as relaxed_relevant_count,
    min(d) as nearest, max(case when rk = 1 then d end) as t1, max(case when rk = 1 then a end) as a1, {hits} from rk group by {keys}),
 rows_ as (select g.*, o.{source}, o.step, strict_relevant_count > 0 as strict_eligible, relaxed_relevant_count > 0 as relaxed_eligible from g join o on o.observation_id = g.query_id)"""
@@ -43,7 +62,7 @@ def _sides(spark, sf):
 def evaluated(spark, sf, per_target=False):
     queries, memory = _sides(spark, sf)
     found = ev.pose_retrievals(queries, memory, per_target)
-    picks = ev.random_retrievals(queries, memory, 42, per_target)
+    picks = ev.random_retrievals(queries, memory, 42, found if per_target else None)
     return ev.pose_rows(queries, found, picks, per_target), found
 
 
@@ -66,8 +85,8 @@ def g01(spark, sf):
 
 @query(
     "g02_random_baseline",
-    f"""with {_SCORED}, r as (select *, row_number() over (partition by query_id order by draw, ord) as rank from sc)
-select query_id, rank, observation_id, draw, round(d, 7) as translation_error_m, round(a, 4) as rotation_error_deg from r where rank <= 10""",
+    f"""with {_SCORED},{_picks_sql(False)}
+select query_id, rr as rank, observation_id, draw, round(d, 7) as translation_error_m, round(a, 4) as rotation_error_deg from picks join sc using (query_id, ord)""",
     "observations",
 )
 def g02(spark, sf):

@@ -195,7 +195,7 @@ def test_traversal_rates_keep_their_denominators(spark):
     memory = spark.createDataFrame([row("a-near", 0, "ta", 0.1, [1.0, 0.0]), row("a-far", 1, "ta", 2.0, [0.0, 1.0]), row("b-near", 2, "tb", 0.2, [0.0, 1.0]), row("b-far", 3, "tb", 3.0, [1.0, 0.0])], POSED)
     queries = spark.createDataFrame([row("near", 10, "sa", 0.0, [1.0, 0.0]), row("uncovered", 11, "sb", 10.0, [0.0, 1.0])], POSED)
     found = ev.pose_retrievals(queries, memory, True)
-    rows = ev.pose_rows(queries, found, ev.random_retrievals(queries, memory, 7, True), True)
+    rows = ev.pose_rows(queries, found, ev.random_retrievals(queries, memory, 7, found), True)
     strict = ev.rate_metrics(rows).filter("level = 'strict' and source = 'model' and k = 1").first()
     assert (strict.rows, strict.eligible, strict.coverage, strict.covered_rate, strict.all_rate) == (4, 2, 0.5, 0.5, 0.25)
     got = {(r.query_id, r.target_sequence_id): r for r in rows.collect()}
@@ -211,6 +211,22 @@ def test_random_baseline_is_reproducible(spark):
     assert len({(q, o) for q, _, o in draw(1)}) == 400
 
 
+def test_random_draws_are_without_replacement_and_even(spark):
+    from evidex.operators.sampling import distinct_ordinals
+
+    keys = spark.range(4000).select(F.col("id"), F.lit(23).cast("long").alias("n"))
+    drawn = [[x.ordinal for x in r.d] for r in keys.select(distinct_ordinals(F.col("id"), F.col("n"), 10, 5).alias("d")).collect()]
+    assert all(len(set(d)) == 10 and min(d) >= 0 and max(d) < 23 for d in drawn)
+    for seen, share in (([d[0] for d in drawn], 1 / 23), ([x for d in drawn for x in d], 10 / 23)):
+        counts = [seen.count(i) for i in range(23)]
+        expected = 4000 * share
+        assert sum((c - expected) ** 2 / expected for c in counts) < 60  # chi-square of 22 degrees, p below 1e-4
+    sizes = spark.createDataFrame([(1, 0), (2, 1), (3, 10), (4, 11), (5, 3 * 10**10)], "id long, n long")
+    few = {r.n: r.d for r in sizes.select("n", distinct_ordinals(F.col("id"), F.col("n"), 10, 5).alias("d")).collect()}
+    assert few[0] is None and [x.ordinal for x in few[1]] == [0] and sorted(x.ordinal for x in few[10]) == list(range(10))
+    assert len({x.ordinal for x in few[11]}) == 10 and max(x.ordinal for x in few[3 * 10**10]) > 2**31
+
+
 def test_failure_tags_in_order(spark):
     names = ["strict_eligible", "strict_hit_at_1", "strict_hit_at_5", "strict_hit_at_10", "relaxed_hit_at_1", "top1_translation_error_m", "top1_rotation_error_deg"]
     row = spark.createDataFrame([(True, False, True, True, True, 0.8, 31.0)], names).select(ev.failure_tags().alias("t")).first()
