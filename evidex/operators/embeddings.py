@@ -75,22 +75,29 @@ def fingerprint(df: DataFrame, label: str, content: str, depth: int = 4) -> Data
     fan-in 16 above leaves of about ``rows / 16**depth`` digests, so no group grows
     with the corpus when ``depth`` follows its size (see ``fingerprint_depth``).
     """
-    digest = F.sha2(
-        F.concat_ws(":", F.length(label).cast("string"), F.col(label), F.sha2(F.col(content), 256)), 256
-    )
-    level = df.select(F.sha2(F.col(label), 256).alias("place"), digest.alias("digest"))
+    level = df.select(F.sha2(F.col(label), 256).alias("place"), label_digest(label, content).alias("digest"))
     for size in range(depth, -1, -1):
-        level = (
-            level.groupBy(F.substring("place", 1, size).alias("prefix"))
-            .agg(F.sort_array(F.collect_list(F.struct("place", "digest"))).alias("parts"))
-            .select(
-                F.col("prefix").alias("place"),
-                F.sha2(F.array_join(F.transform("parts", lambda p: p["digest"]), ""), 256).alias("digest"),
-            )
-        )
+        level = parent_level(level, size)
     return level.select(F.col("digest").alias("fingerprint"))
 
 
+def label_digest(label: str, content: str) -> Column:
+    """Digest of one row: its length-prefixed label and the digest of its content."""
+    return F.sha2(F.concat_ws(":", F.length(label).cast("string"), F.col(label), F.sha2(F.col(content), 256)), 256)
+
+
+def parent_level(level: DataFrame, size: int) -> DataFrame:
+    """The nodes (place, digest) of ``size`` hex digits above those of ``level``."""
+    return (
+        level.groupBy(F.substring("place", 1, size).alias("prefix"))
+        .agg(F.sort_array(F.collect_list(F.struct("place", "digest"))).alias("parts"))
+        .select(
+            F.col("prefix").alias("place"),
+            F.sha2(F.array_join(F.transform("parts", lambda p: p["digest"]), ""), 256).alias("digest"),
+        )
+    )
+
+
 def fingerprint_depth(rows: int) -> int:
     """Levels that leave about 64 digests in a leaf."""
     depth = 0

@@ -9,10 +9,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from evidex.functions.vectors import norm
-from evidex.operators import embeddings as emb, search
+from evidex.operators import drift, embeddings as emb, search
 from evidex.plans.registry import query
 from evidex.plans.relations import documents, relation, table, vector_count, with_vectors
-from evidex.session import cut_lineage
+from evidex.session import cut_lineage, scratch_path
 
 DIM = 64
 
@@ -121,6 +121,32 @@ def b06(spark, sf):
     return emb.row_drift(known.unionByName(moved), source, columns)
 
 
+_CHANGED = """
+was as (select doc_id::varchar as label, case when doc_id % 97 = 5 then concat(text, '!') else text end as text from documents where doc_id % 101 <> 7
+  union all select concat('gone-', doc_id), text from documents where doc_id % 211 = 3),
+one as (select label, sha256(label) as place, sha256(concat(length(label), ':', label, ':', sha256(text))) as digest from was),
+two as (select doc_id::varchar as label, sha256(doc_id::varchar) as place, sha256(concat(length(doc_id::varchar), ':', doc_id, ':', sha256(text))) as digest from documents),
+d as (select greatest(0, ceil(log(greatest(count(*), 1) / 64.0) / log(16.0) - 1e-9))::bigint as depth from was)"""
+
+
+@query(
+    "b06_fingerprint_drift",
+    f"""with {_CHANGED}
+select coalesce(one.label, two.label) as label, substr(coalesce(one.place, two.place), 1, depth) as leaf,
+  case when one.label is null then 'source_only' when two.label is null then 'index_only' else 'changed' end as problem
+from one full join two on one.label = two.label cross join d where one.digest is distinct from two.digest""",
+)
+def b06_fingerprint(spark, sf):
+    """An index of the documents as they were: some had another text, some are new, some have gone."""
+    docs = table(spark, sf, "documents").select("doc_id", F.col("doc_id").cast("string").alias("label"), "text")
+    text = F.when(F.col("doc_id") % 97 == 5, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    gone = docs.where("doc_id % 211 = 3").select(F.concat(F.lit("gone-"), "label").alias("label"), "text")
+    was = docs.where("doc_id % 101 <> 7").select("label", text.alias("text")).unionByName(gone)
+    path = scratch_path(spark, "fingerprint")
+    drift.store_fingerprint(was, "label", F.col("text"), path)
+    return drift.content_drift(spark, path, docs, "label", F.col("text"))
+
+
 def _memory(spark, sf):
     return table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"), F.col("label").cast("long").alias("label")
