@@ -146,19 +146,24 @@ def _heavy_pass(postings: DataFrame, asked: DataFrame, light: DataFrame, k: int,
 
     def run(heavy: pa.Table, light: pa.Table) -> pa.Table:
         names, number, column, wants, size, hint = shared.value
-        ids = heavy["window_id"].to_pylist() + light["window_id"].to_pylist()
-        video_of = dict(zip(ids, heavy["video_id"].to_pylist() + light["video_id"].to_pylist()))
-        windows = np.array(sorted(video_of), object)
-        row = {w: i for i, w in enumerate(windows)}
-        videos = np.array([video_of[w] for w in windows], object)
+        joined = lambda name: pa.concat_arrays([*heavy[name].chunks, *light[name].chunks]).dictionary_encode()
+        ids, of_video = joined("window_id"), joined("video_id")
+        names_of = np.array(ids.dictionary.to_pylist(), object)
+        order = np.argsort(names_of, kind="stable")
+        windows, place = names_of[order], np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        at = place[ids.indices.to_numpy()]
+        videos = np.empty(len(windows), object)
+        videos[at] = np.array(of_video.dictionary.to_pylist(), object)[of_video.indices.to_numpy()]
         weight, acts = np.zeros((len(windows), len(column))), np.zeros((len(windows), len(column)))
-        at = np.array([row[w] for w in ids], np.int64)
-        own = (at[: len(heavy)], np.array([column[t] for t in heavy["term"].to_pylist()], np.int64))
+        numbers = lambda values, known: np.array([known[x] for x in values.dictionary.to_pylist()], np.int64)[values.indices.to_numpy()]
+        encoded = lambda column: pa.concat_arrays(column.chunks or [pa.array([], column.type)]).dictionary_encode()
+        own = (at[: len(heavy)], numbers(encoded(heavy["term"]), column))
         given = heavy["weight"].to_numpy()
         np.add.at(weight, own, given)
         np.add.at(acts, own, given == ACTION_WEIGHT)
         hits, action = weight @ wants, acts @ wants
-        other = (at[len(heavy) :], np.array([number[q] for q in light["query_id"].to_pylist()], np.int64))
+        other = (at[len(heavy) :], numbers(encoded(light["query_id"]), number))
         np.add.at(hits, other, light["hits"].to_numpy())
         np.add.at(action, other, light["action"].to_numpy())
         score = np.where(hint[None, :] & (action == 0), 0.0, hits / size[None, :])

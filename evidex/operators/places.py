@@ -189,6 +189,8 @@ def propagate_labels(
     one number, whose running minimum per record is kept while pairs are made; only that is shuffled.
     """
     labelled = representatives.filter(F.coalesce("label", F.lit(UNASSIGNED)) != UNASSIGNED)
+    # Three branches read the representatives.
+    labelled = cut_lineage(labelled.select("observation_id", "translation", "rotation", "label", "rep_order"), "representatives")
     near = pose_join(records, labelled, metres, degrees, ["rep_order"], "right", block_rows)
     cost = F.pow(F.col("translation_error_m") / metres, 2) + F.pow(F.col("rotation_error_deg") / degrees, 2)
     wide = lambda c: c.cast("decimal(38,0)")

@@ -130,24 +130,30 @@ def _touched_span(window_s: float, stride_s: float) -> tuple[Column, Column]:
 
 
 def _touched(actions: DataFrame, window_s: float, stride_s: float) -> DataFrame:
-    """One row per action and window number it may overlap.  Long actions are cut into blocks of
-    numbers and the blocks spread before they grow, so that no task makes all rows of one."""
+    """One row per action and window number it may overlap.  Actions of many windows are cut into
+    blocks of numbers and the blocks spread before they grow, so that no task makes all rows of one."""
     first, last = _touched_span(window_s, stride_s)
     spans = actions.select("video_id", "pos", *ACTION_FIELDS, first.alias("_first"), last.alias("_last"))
-    blocks = spans.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_first") / WINDOWS_PER_BLOCK), F.floor(F.col("_last") / WINDOWS_PER_BLOCK))))
+    grown = ["video_id", "pos", *ACTION_FIELDS]
+    few = spans.where(last_below(WINDOWS_PER_BLOCK)).select(*grown, F.explode(F.sequence("_first", "_last")).alias("window_no"))
+    blocks = fresh(spans).where(~last_below(WINDOWS_PER_BLOCK)).withColumn(
+        "_block", F.explode(F.sequence(F.floor(F.col("_first") / WINDOWS_PER_BLOCK), F.floor(F.col("_last") / WINDOWS_PER_BLOCK)))
+    )
     low = F.greatest(F.col("_first"), F.col("_block") * WINDOWS_PER_BLOCK)
     high = F.least(F.col("_last"), (F.col("_block") + 1) * WINDOWS_PER_BLOCK - 1)
     spread = blocks.repartition(shuffle_partitions(actions.sparkSession), "video_id", "_block", "pos")
-    return spread.select("video_id", "pos", *ACTION_FIELDS, F.explode(F.sequence(low, high)).alias("window_no"))
+    return few.unionByName(spread.select(*grown, F.explode(F.sequence(low, high)).alias("window_no")))
+
+
+def last_below(count: int) -> Column:
+    return F.col("_last") - F.col("_first") < count
 
 
 def action_nodes(actions: DataFrame, window_s: float = WINDOW_S, stride_s: float = STRIDE_S) -> DataFrame:
-    """Actions on the blocks of window numbers they may overlap, as ``_level, _node``: single numbers
-    for an action of up to ``SHORT_ACTION`` windows, dyadic blocks for a longer one."""
+    """Actions of more than ``SHORT_ACTION`` windows on dyadic blocks of the window numbers they may
+    overlap, as ``_level, _node``."""
     first, last = _touched_span(window_s, stride_s)
-    single = F.transform(F.sequence(first, last), lambda n: F.struct(F.lit(0).alias("level"), n.alias("node")))
-    nodes = F.when(last - first < SHORT_ACTION, single).otherwise(dyadic_cover(first, last))
-    return actions.select("video_id", "pos", *ACTION_FIELDS, F.explode(nodes).alias("_at")).select(
+    return actions.where(last - first >= SHORT_ACTION).select("video_id", "pos", *ACTION_FIELDS, F.explode(dyadic_cover(first, last)).alias("_at")).select(
         "video_id", "pos", *ACTION_FIELDS, F.col("_at.level").alias("_level"), F.col("_at.node").alias("_node")
     )
 
@@ -157,9 +163,9 @@ def window_action_overlap(
 ) -> DataFrame:
     """One row per window and action that overlap.
 
-    An action knows which window numbers it can touch and is placed on blocks of them; a window is
-    placed on its own number and, in recordings with long actions, on the larger blocks they use.  Both
-    meet on ``(video_id, level, block)``: no range join, a long action is a few rows, and a long
+    An action knows which window numbers it can touch.  A short one meets its windows on ``(video_id,
+    window_no)``; a longer one is placed on dyadic blocks of numbers, a few rows however long it is, and
+    meets the windows of such recordings on ``(video_id, level, block)``: no range join, and a long
     recording spreads over the tasks.  The exact test stays as a residual filter.
     """
     sides = windows.select(
@@ -167,14 +173,17 @@ def window_action_overlap(
         F.col("start_s").alias("window_start_s"), F.col("end_s").alias("window_end_s"),
     )
     first, last = _touched_span(window_s, stride_s)
-    long = fresh(actions).where(last - first >= SHORT_ACTION)
-    used = long.groupBy("video_id").agg(F.bit_or(levels_used(dyadic_cover(first, last))).alias("_used"))
-    levels = F.coalesce(F.col("_used"), F.lit(0).cast("long")).bitwiseOR(F.lit(1).cast("long"))
-    placed = sides.join(used, "video_id", "left").select(*sides.columns, F.explode(dyadic_path(F.col("window_no"), levels)).alias("_at"))
-    placed = placed.select(*sides.columns, F.col("_at.level").alias("_level"), F.col("_at.node").alias("_node"))
-    return placed.join(action_nodes(actions, window_s, stride_s), ["video_id", "_level", "_node"]).drop("_level", "_node").filter(
-        overlaps("start_s", "end_s", "window_start_s", "window_end_s")
+    short = actions.where(last - first < SHORT_ACTION).select(
+        "video_id", "pos", *ACTION_FIELDS, F.explode(F.sequence(first, last)).alias("window_no")
+    )
+    met = sides.join(short, ["video_id", "window_no"])
+    used = fresh(actions).where(last - first >= SHORT_ACTION).groupBy("video_id").agg(
+        F.bit_or(levels_used(dyadic_cover(first, last))).alias("_used")
     )
+    placed = fresh(sides).join(used, "video_id").select(*sides.columns, F.explode(dyadic_path(F.col("window_no"), F.col("_used"))).alias("_at"))
+    placed = placed.select(*sides.columns, F.col("_at.level").alias("_level"), F.col("_at.node").alias("_node"))
+    far = placed.join(action_nodes(fresh(actions), window_s, stride_s), ["video_id", "_level", "_node"]).drop("_level", "_node")
+    return met.unionByName(far).filter(overlaps("start_s", "end_s", "window_start_s", "window_end_s"))
 
 
 def _strip_pos(packed: str) -> Column:
