@@ -152,8 +152,8 @@ def a08(spark, sf):
 
 @query(
     "a09_multimodal_scan",
-    """select doc_id::varchar as video_id, case when doc_id % 11 = 0 then 'duration' when doc_id % 13 = 0 then 'modality' when doc_id % 17 = 0 then 'interval' when doc_id % 19 = 0 then 'label' when doc_id % 23 = 0 then 'beyond_end' end as rule
- from documents where doc_id % 29 <> 0 union all select null, 'json' from documents where doc_id % 29 = 0""",
+    """select row_number() over (order by doc_id) as line, case when doc_id % 29 <> 0 then doc_id::varchar end as video_id, case when doc_id % 29 = 0 then 'json' when doc_id % 11 = 0 then 'duration' when doc_id % 13 = 0 then 'modality' when doc_id % 17 = 0 then 'interval' when doc_id % 19 = 0 then 'label' when doc_id % 23 = 0 then 'beyond_end' end as rule
+ from documents""",
 )
 def a09(spark, sf):
     """JSON lines of the documents with one broken rule here and there."""
@@ -166,10 +166,10 @@ def a09(spark, sf):
         F.array(note).alias("annotations"), F.col("text").alias("summary"),
     )
     text = F.to_json(record)
-    lines = table(spark, sf, "documents").select(F.when(d % 29 == 0, F.concat(F.lit("{broken"), text)).otherwise(text).alias("value"))
+    lines = table(spark, sf, "documents").select("doc_id", F.when(d % 29 == 0, F.concat(F.lit("{broken"), text)).otherwise(text).alias("value"))
     path = scratch_path(spark, "multimodal")
-    lines.write.text(path)
-    return rd.read_multimodal(spark, path).select("video_id", "rule")
+    lines.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("value").write.text(path)
+    return rd.parse_multimodal(rd.ordered_lines(rd.numbered_lines(spark, path))).select("line", "video_id", "rule")
 
 
 @query(
@@ -213,6 +213,40 @@ def a11(spark, sf):
     return rd.zone_prompts(zones).join(counts, "slug")
 
 
+@query(
+    "a11_zone_artifact",
+    """with z as (select sequence_no % 7 as z, count(*) as assigned from observations group by 1)
+select z, case z when 1 then 'parts' when 2 then 'no_zones' when 3 then 'prompt' when 4 then 'json' when 5 then 'frames' end as rule,
+  case when z in (1, 3, 5) then 1 when z in (0, 6) then 1 when z = 2 then 0 end as zones, case when z in (0, 6) then assigned end as assigned from z""",
+    "observations",
+)
+def a11_artifact(spark, sf):
+    """Indented artifacts of one zone each, as written by hand; five of seven are broken in their way."""
+    z = F.regexp_extract("zone", "([0-9]+)$", 1).cast("long")
+    rows = observations(spark, sf).select(z.alias("z"), "zone", "observation_id")
+    packed = rows.groupBy("z", "zone").agg(
+        F.map_from_entries(F.collect_list(F.struct("observation_id", F.when(F.col("z") == 5, "elsewhere").otherwise(F.col("zone"))))).alias("assignments"), F.count("*").alias("n")
+    )
+    prompts = F.create_map(
+        F.lit("name"), F.col("zone"), F.lit("landmarks"), F.when(F.col("z") == 3, " ").otherwise("a desk"), F.lit("technician_question"), F.concat(F.lit("Where is "), "zone", F.lit("?"))
+    )
+    zone = F.struct(F.col("zone").alias("slug"), F.col("zone").alias("name"), prompts.alias("prompts"))
+    artifact = F.struct(
+        F.when(F.col("z") == 2, F.array().cast("array<struct<slug:string,name:string,prompts:map<string,string>>>")).otherwise(F.array(zone)).alias("zones"),
+        "assignments", F.when(F.col("z") != 1, F.create_map("zone", "n")).alias("assignment_counts"),
+    )
+    text = F.to_json(artifact, {"pretty": "true"})
+    path = scratch_path(spark, "zone-artifacts")
+    packed.select("z", F.when(F.col("z") == 4, F.concat(text, F.lit("}"))).otherwise(text).alias("value")).write.partitionBy("z").text(path)
+    found = rd.read_zone_documents(spark, path)
+    _, _, counts = rd.zone_tables(found)
+    number = F.regexp_extract("path", "/z=([0-9]+)/", 1).cast("long").alias("z")
+    good = counts.select(F.regexp_extract("slug", "([0-9]+)$", 1).cast("long").alias("z"), "assigned")
+    return found.select(number, "rule", F.size("zones").alias("zones")).select(
+        "z", "rule", F.when(F.col("zones") >= 0, F.col("zones")).alias("zones")
+    ).join(good, "z", "left")
+
+
 @query(
     "a12_evaluation_scan",
     "select concat('f', l_orderkey) as query_id, count(*) as rows from lineitem group by 1 having count(*) > 1",

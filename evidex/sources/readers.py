@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from evidex.operators.windows import MODALITIES
 
@@ -11,6 +11,7 @@ TRAIN_SEQUENCES = (1, 3, 4, 5, 8, 10)
 TEST_SEQUENCES = (2, 6, 7, 9)
 # Allowed answerability of a benchmark question.
 ANSWERABILITY = ("supported", "supported_with_limits", "requires_manual_review", "unsupported")
+# Fields a question must have; prompt styles of a zone.
 QUESTION_FIELDS = ("question_id", "question", "category", "dataset", "answerability", "source_observation_id")
 PROMPT_STYLES = ("name", "landmarks", "technician_question")
 # Vertex properties a mesh must have.
@@ -231,13 +232,30 @@ def read_multimodal(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """1-based line numbers of small manifest files (each file is one row here)."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\n")).alias("_n", "value")).select(
-        "path", (F.col("_n") + 1).alias("line_no"), "value"
+    """path, line_no (from 1), value of every line of text files of any size.
+
+    Files are read in splits.  The lines of each split are counted in a first pass, a running sum over
+    the split offsets of a file says how many lines come before, and a line's place in its split follows
+    from the order in which the split is read; both passes plan the same splits."""
+    lines = spark.read.text(path).select(
+        F.input_file_name().alias("path"), F.expr("input_file_block_start()").alias("_start"), F.monotonically_increasing_id().alias("_seq"), "value"
+    )
+    splits = lines.groupBy("path", "_start").agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
+    earlier = Window.partitionBy("path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("path", "_start", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return lines.join(splits, ["path", "_start"]).select(
+        "path", (F.col("_before") + F.col("_seq") - F.col("_first") + 1).alias("line_no"), "value"
     )
 
 
+def ordered_lines(numbered: DataFrame) -> DataFrame:
+    """Add ``line``: the number of a line over all files in the order of their paths."""
+    files = numbered.groupBy("path").agg(F.max("line_no").alias("_lines"))
+    earlier = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    files = files.select("path", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_before"))
+    return numbered.join(files, "path").withColumn("line", F.col("_before") + F.col("line_no")).drop("_before")
+
+
 def parse_questions(lines: DataFrame) -> DataFrame:
     """Benchmark questions with the first broken rule; ids must be unique."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
@@ -266,6 +284,71 @@ def read_zones(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return zones, assigned
 
 
+ZONE_RULES = ("json", "parts", "no_zones", "slug", "prompts", "prompt", "frames")
+
+
+def read_zone_documents(spark: SparkSession, path: str, prompts: bool = True) -> DataFrame:
+    """Zone artifacts, one JSON document per file however it is laid out: path, zones, assignments,
+    counts, rule.
+
+    ``rule`` is the first of ``ZONE_RULES`` that the artifact breaks, null if none: it is not JSON; zones
+    (a list), assignments or assignment_counts (objects) are missing; no zone has a text as its slug.
+    With ``prompts``, as evaluation needs: every zone has a slug, has prompts, has a non-blank text of
+    each style, and is assigned to a frame.  Zones without a slug are left out of ``zones``; a file of no
+    bytes has no row."""
+    # The parser stops at the end of the first value; as the one element of a list nothing may follow it.
+    listed = F.try_parse_json(F.concat(F.lit("["), F.col("content").cast("string"), F.lit("]")))
+    at = lambda value, where, kind: F.try_variant_get(value, where, kind)
+
+    def text(value: Column, where: str) -> Column:
+        is_text = F.schema_of_variant(at(value, where, "variant")) == "STRING"
+        return F.when(is_text, at(value, where, "string"))
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", listed.alias("_l"))
+    only = F.when(at(F.col("_l"), "$[1]", "variant").isNull(), at(F.col("_l"), "$[0]", "variant"))
+    parsed = files.select("path", only.alias("_v")).select(
+        "path", "_v", at(F.col("_v"), "$.zones", "array<variant>").alias("_zones"),
+        at(F.col("_v"), "$.assignments", "map<string,string>").alias("assignments"),
+        at(F.col("_v"), "$.assignment_counts", "map<string,bigint>").alias("counts"),
+    )
+    zone = lambda z: F.struct(
+        text(z, "$.slug").alias("slug"), text(z, "$.name").alias("name"), text(z, "$.description").alias("description"),
+        at(z, "$.stable_landmarks", "array<string>").alias("stable_landmarks"),
+        at(z, "$.prompts", "map<string,variant>").isNotNull().alias("has_prompts"),
+        F.create_map(*[x for s in PROMPT_STYLES for x in (F.lit(s), text(z, f"$.prompts.{s}"))]).alias("prompts"),
+    )
+    rows = parsed.withColumn("_all", F.transform("_zones", zone)).withColumn("zones", F.filter("_all", lambda z: z["slug"].isNotNull()))
+    blank = lambda z: F.exists(F.map_values(z["prompts"]), lambda p: F.trim(F.coalesce(p, F.lit(""))) == "")
+    labels = F.map_values("assignments")
+    strict = [
+        ("slug", F.size("zones") < F.size("_all")), ("prompts", F.exists("zones", lambda z: ~z["has_prompts"])), ("prompt", F.exists("zones", blank)),
+        ("frames", F.exists("zones", lambda z: ~F.array_contains(labels, z["slug"]))),
+    ]
+    rule = _first_rule([
+        ("json", F.col("_v").isNull()),
+        ("parts", F.col("_zones").isNull() | F.col("assignments").isNull() | F.col("counts").isNull()),
+        ("no_zones", F.size("zones") == 0), *(strict if prompts else []),
+    ])
+    return rows.select("path", "zones", "assignments", "counts", rule.alias("rule"))
+
+
+def require_zone_documents(documents: DataFrame) -> DataFrame:
+    """The same artifacts; the first broken one, by path, is an error."""
+    broken = documents.where(F.col("rule").isNotNull()).orderBy("path").select("path", "rule").first()
+    if broken:
+        raise ValueError(f"zone artifact {broken['path']} breaks rule {broken['rule']}")
+    return documents
+
+
+def zone_tables(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """zones (slug, name, description, stable_landmarks, prompts), assignments (observation_id, label) and
+    counts (slug, assigned) of artifacts that break no rule."""
+    good = documents.where(F.col("rule").isNull())
+    zones = good.select(F.explode("zones").alias("z")).select("z.*").drop("has_prompts").dropDuplicates(["slug"])
+    assigned = good.select(F.explode("assignments").alias("observation_id", "label"))
+    return zones, assigned, good.select(F.explode("counts").alias("slug", "assigned"))
+
+
 def zone_prompts(zones: DataFrame) -> DataFrame:
     """One row per zone and prompt style; a missing prompt has a null text."""
     pairs = ", ".join(f"'{s}', element_at(prompts, '{s}')" for s in PROMPT_STYLES)
