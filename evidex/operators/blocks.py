@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from evidex.operators.joins import fresh
+from evidex.session import cut_lineage
 
 MAX_BROADCAST_ROWS = 16_384
 MAX_BROADCAST_BYTES = 128 * 1024 * 1024
@@ -36,8 +37,7 @@ class ScanSpec:
 
     ``queries`` needs ``query_id, q_vector`` and ``memory`` ``ord, vector`` plus
     the ``payload`` columns.  With ``exclude_ord`` a query never meets the row of
-    its own ``q_ord``; with ``scoped`` only rows of equal ``scope`` meet (hashes;
-    a query with ``q_anywhere`` meets all); with ``group`` the best rows are kept per value
+    its own ``q_ord``; with ``group`` the best rows are kept per value
     of that memory column; with ``poses`` both sides carry ``translation`` and
     ``rotation`` and kept rows get their pose errors; ``thresholds`` (name, metres,
     degrees) count the rows within them and find the nearest pose, over all rows.
@@ -46,7 +46,6 @@ class ScanSpec:
     k: int
     payload: tuple[tuple[str, str], ...] = ()
     exclude_ord: bool = False
-    scoped: bool = False
     group: str | None = None
     poses: bool = False
     thresholds: tuple[tuple[str, float, float], ...] = field(default=())
@@ -107,8 +106,6 @@ class BlockScan:
         self.q_ord = queries["q_ord"].to_numpy(np.int64) if "q_ord" in queries else None
         floor = queries["q_floor"].to_numpy(np.float64) if "q_floor" in queries else np.full(len(queries), -np.inf)
         self.floor = np.where(np.isnan(floor), -np.inf, floor)
-        if spec.scoped:
-            self.scope, self.anywhere = queries["q_scope"].to_numpy(np.int64), queries["q_anywhere"].to_numpy(bool)
         if spec.poses and len(queries):
             self.translation = _matrix(queries["q_translation"])
             self.rotation = _matrix(queries["q_rotation"])
@@ -143,10 +140,6 @@ class BlockScan:
         allowed = None
         if spec.exclude_ord:
             allowed = self.q_ord[part][:, None] != ords[None, :]
-        if spec.scoped:
-            same = self.scope[part][:, None] == memory["scope"].to_numpy(np.int64)[None, :]
-            same |= self.anywhere[part][:, None]
-            allowed = same if allowed is None else allowed & same
         if spec.thresholds:
             self._count_poses(best, part, memory)
         masked = key if allowed is None else np.where(allowed, key, -np.inf)
@@ -229,14 +222,14 @@ def _blocks(df: DataFrame, id_column: str, own: str, own_count: int, other: str,
     )
 
 
-def with_floor(queries: DataFrame, sample: DataFrame, spec: ScanSpec, max_broadcast_rows: int) -> DataFrame:
+def with_floor(queries: DataFrame, sample: DataFrame, spec: ScanSpec, max_broadcast_rows: int, scan=None) -> DataFrame:
     """Queries with the ``k``-th best score of a sample of memory.
 
     The true ``k``-th best is at least as good, so tasks may drop rows below it: a
     scan of many tasks then returns about ``k`` rows over the sampled share per
     query in all, not ``k`` per task, and the result stays exact.
     """
-    found = best_rows(scan_blocks(queries, sample, spec, max_broadcast_rows), spec)
+    found = best_rows((scan or scan_blocks)(queries, sample, spec, max_broadcast_rows), spec)
     floors = found.filter(F.col("rank") == spec.k).select("query_id", F.col("score").alias("q_floor"))
     return queries.join(floors, "query_id", "left")
 
@@ -270,6 +263,51 @@ def scan_blocks(
     return left.groupBy("qb", "mb").cogroup(fresh(right).groupBy("qb", "mb")).applyInPandas(meet, spec.schema())
 
 
+def scan_scopes(
+    queries: DataFrame, memory: DataFrame, spec: ScanSpec, max_broadcast_rows: int = MAX_BROADCAST_ROWS
+) -> DataFrame:
+    """``scan_blocks`` where a query with a ``q_scope`` meets the rows of that ``scope`` only, one
+    without meets all.
+
+    Both sides are brought together by scope, so rows of other scopes are never scored.  A scope of
+    more than a block of queries or rows is dealt into blocks by hash and every two of them meet in a
+    group of their own; small scopes share groups, within which each is scored by itself."""
+    anywhere = queries.where(F.col("q_scope").isNull()).drop("q_scope")
+    own = queries.withColumn("q_scope", F.col("q_scope").cast("string")).where(F.col("q_scope").isNotNull())
+    rows = memory.withColumn("_scope", F.col("scope").cast("string"))
+    parts = lambda n, size: F.ceil(F.col(n) / size).cast("int")
+    asked = fresh(own).groupBy(F.col("q_scope").alias("_scope")).agg(F.count("*").alias("_q"))
+    held = fresh(rows).groupBy("_scope").agg(F.count("*").alias("_m"))
+    sizes = cut_lineage(asked.join(held, "_scope").select("_scope", "_m", parts("_q", QUERY_BLOCK_ROWS).alias("qn"), parts("_m", MEMORY_BLOCK_ROWS).alias("mn")), "scopes")
+    packs = max(1, -(-(sizes.agg(F.sum("_m")).first()[0] or 0) // MEMORY_BLOCK_ROWS))
+    alone = (F.col("qn") > 1) | (F.col("mn") > 1)
+    pack = F.when(alone, F.concat(F.lit("scope "), "_scope")).otherwise(F.concat(F.lit("pack "), F.pmod(F.xxhash64("_scope"), F.lit(packs)).cast("string")))
+    deals = sizes.select("_scope", "qn", "mn", pack.alias("pack"))
+
+    def dealt(df: DataFrame, key: str, mine: str, count: str, other: str, others: str) -> DataFrame:
+        placed = df.withColumn(mine, F.pmod(F.xxhash64(key), F.col(count)).cast("int"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(others) - 1))).drop("qn", "mn")
+
+    left = dealt(own.join(deals, F.col("q_scope") == F.col("_scope")).drop("_scope"), "query_id", "qb", "qn", "mb", "mn")
+    right = dealt(rows.join(fresh(deals), "_scope"), "ord", "mb", "mn", "qb", "qn")
+
+    def meet(query_rows: pd.DataFrame, memory_rows: pd.DataFrame) -> pd.DataFrame:
+        of_scope = dict(list(query_rows.groupby("q_scope", sort=False)))
+        found = []
+        for scope, some in memory_rows.groupby("_scope", sort=False):
+            if scope in of_scope:
+                scan = BlockScan(spec, of_scope[scope])
+                scan.update(some)
+                found.append(scan.result())
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=spec.columns())
+
+    keys = ["pack", "qb", "mb"]
+    scoped = left.groupBy(*keys).cogroup(fresh(right).groupBy(*keys)).applyInPandas(meet, spec.schema())
+    if anywhere.isEmpty():
+        return scoped
+    return scoped.unionByName(scan_blocks(anywhere, memory, spec, max_broadcast_rows))
+
+
 def best_rows(partial: DataFrame, spec: ScanSpec) -> DataFrame:
     """Merge the tasks' rows to a 1-based ``rank`` per query (and group)."""
     keys = ["query_id"] + ([spec.group] if spec.group else [])

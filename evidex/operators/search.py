@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from evidex.functions.vectors import dot
 from evidex.operators import blocks
-from evidex.operators.blocks import ScanSpec, best_rows, scan_blocks, with_floor
+from evidex.operators.blocks import ScanSpec, best_rows, scan_blocks, scan_scopes, with_floor
 from evidex.operators.embeddings import normalize
 
 _TYPES = {"string": "string", "bigint": "long", "int": "long", "double": "double", "boolean": "boolean"}
@@ -43,18 +43,15 @@ def cosine_topk(
         k=k,
         payload=payload_of(memory, {"ord", "vector", "scope"}),
         exclude_ord=exclude_self,
-        scoped=scoped,
     )
     left = normalize(queries, "vector", strict=True).withColumnRenamed("vector", "q_vector")
     keep = ["query_id", "q_vector"] + [c for c in ("q_ord",) if exclude_self]
-    if scoped:  # compare scopes as numbers inside the blocks
-        left = left.withColumn("q_anywhere", F.col("q_scope").isNull()).withColumn("q_scope", F.xxhash64("q_scope"))
-        memory = memory.withColumn("scope", F.xxhash64("scope"))
-        keep += ["q_scope", "q_anywhere"]
-    left = left.select(*keep)
+    if scoped:
+        keep.append("q_scope")
+    left, scan = left.select(*keep), scan_scopes if scoped else scan_blocks
     if presample:
-        left = with_floor(left, memory.sample(presample, seed=7), spec, max_broadcast_rows)
-    ranked = best_rows(scan_blocks(left, memory, spec, max_broadcast_rows), spec)
+        left = with_floor(left, memory.sample(presample, seed=7), spec, max_broadcast_rows, scan)
+    ranked = best_rows(scan(left, memory, spec, max_broadcast_rows), spec)
     return ranked.withColumn("score", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("score"))))
 
 

@@ -165,6 +165,14 @@ def test_topk_by_broadcast_and_by_grid(spark, limit, scoped, presample, monkeypa
         assert got[q] == {i + 1: m for i, m in enumerate(want)}
 
 
+def test_rows_of_other_scopes_are_never_scored(spark):
+    """Vectors of the scopes have different lengths, so a product across scopes would fail."""
+    memory = spark.createDataFrame([(i, [1.0] * (2 + i % 5), f"s{i % 5}") for i in range(50)], "ord long, vector array<double>, scope string").repartition(3)
+    queries = spark.createDataFrame([(f"q{i}", [1.0] * (2 + i % 5), f"s{i % 5}") for i in range(10)] + [("none", [1.0], "gone")], "query_id string, vector array<double>, q_scope string")
+    found = search.cosine_topk(queries, memory, 3, scoped=True).collect()
+    assert sorted((r.query_id, r.ord) for r in found) == sorted((f"q{i}", i % 5 + 5 * j) for i in range(10) for j in range(3))
+
+
 @pytest.mark.parametrize("block_rows", [5, 2048])
 def test_association_blocks(spark, block_rows):
     rng = np.random.default_rng(2)
