@@ -11,6 +11,12 @@ from evidex.session import cut_lineage
 
 TIMELINE_GAP_S = 0.5
 BUCKET_S = 256.0
+# Texts that clients show.
+LOCAL_DESCRIPTION = "Local video; annotations are not available."
+ANSWER_PREFIX = "The selected evidence contains: "
+EVENT_CONFIDENCE = "dataset annotation"
+EVENT_LIMITATION = "The action interval is an annotation reference, not a VLM judgment."
+NO_ANSWER = "The selected evidence does not contain an annotated action that answers this question."
 
 
 def enrich_from_manifest(windows: DataFrame, manifest: DataFrame, fields: list[str]) -> DataFrame:
@@ -56,7 +62,7 @@ def video_catalog(windows: DataFrame, actions: DataFrame) -> DataFrame:
 def catalog_union(prepared: DataFrame, uploads: DataFrame) -> DataFrame:
     """Uploaded recordings beside prepared ones; they have no actions or objects."""
     added = uploads.select(
-        "video_id", "duration_s", F.lit("Local video; annotations are not available.").alias("description"),
+        "video_id", "duration_s", F.lit(LOCAL_DESCRIPTION).alias("description"),
         F.array().cast("array<string>").alias("objects"), F.lit(0).cast("long").alias("action_count"),
         F.lit("local_upload").alias("source"),
     )
@@ -138,6 +144,36 @@ def timeline(overlapping: DataFrame, gap_s: float = TIMELINE_GAP_S) -> DataFrame
     )
 
 
+def timeline_sources(overlapping: DataFrame, gap_s: float = TIMELINE_GAP_S) -> DataFrame:
+    """The events behind a timeline: island, label, ends, evidence window and where they come from."""
+    order = [F.col("start_s"), F.col("end_s"), F.col("pos")]
+    events = cut_lineage(timeline_events(overlapping), "events")
+    marked = islands(events, ["video_id"], "start_s", "end_s", order, gap_s, BUCKET_S)
+    return marked.select(
+        "video_id", "island", "label", "start_s", "end_s", "evidence_window_id", F.lit(EVENT_CONFIDENCE).alias("confidence"),
+        F.array(F.lit(EVENT_LIMITATION)).alias("limitations"),
+    )
+
+
+def timeline_summary(windows: DataFrame, sources: DataFrame) -> DataFrame:
+    """One row per recording: overview and objects of its first window, numbers of groups and events.
+
+    The overview is the description up to its first semicolon; one all in capitals is written as a
+    sentence.  ``windows``: ``video_id, start_s, end_s, description, objects``; ``sources`` as of
+    ``timeline_sources``."""
+    first = windows.groupBy("video_id").agg(
+        F.min_by(F.struct("description", "objects"), F.struct("start_s", "end_s", "window_id")).alias("_w")
+    )
+    text = F.trim(F.substring_index(F.coalesce("_w.description", F.lit("")), ";", 1))
+    shouted = (text == F.upper(text)) & (text != F.lower(text))
+    calm = F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, F.lit(2), F.length(text))))
+    counts = sources.groupBy("video_id").agg(F.count_distinct("island").alias("group_count"), F.count("*").alias("event_count"))
+    zero = F.lit(0).cast("long")
+    return first.select(
+        "video_id", F.when(shouted, calm).otherwise(text).alias("overview"), F.coalesce("_w.objects", F.array().cast("array<string>")).alias("objects")
+    ).join(counts, "video_id", "left").withColumn("group_count", F.coalesce("group_count", zero)).withColumn("event_count", F.coalesce("event_count", zero))
+
+
 def interval_answer(requests: DataFrame, overlapping: DataFrame, windows: DataFrame) -> DataFrame:
     """Actions and windows that overlap a chosen interval of a recording.
 
@@ -157,8 +193,8 @@ def interval_answer(requests: DataFrame, overlapping: DataFrame, windows: DataFr
     )
     text = F.when(
         F.col("_names").isNotNull(),
-        F.concat(F.lit("The selected evidence contains: "), F.array_join("_names", ", "), F.lit(".")),
-    ).otherwise("The selected evidence does not contain an annotated action that answers this question.")
+        F.concat(F.lit(ANSWER_PREFIX), F.array_join("_names", ", "), F.lit(".")),
+    ).otherwise(NO_ANSWER)
     return (
         requests.join(named, "query_id", "left").join(evidence, "query_id", "left")
         .withColumn("answer", text)

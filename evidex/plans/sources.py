@@ -261,6 +261,30 @@ def a12(spark, sf):
     return duplicate_ids(rd.read_jsonl(spark, path, rows.schema), "query_id")
 
 
+@query(
+    "a12_evaluation_artifact",
+    """with r as (select concat('q', case when l_linenumber = 7 then l_orderkey * 10 + 1 else l_orderkey * 10 + l_linenumber end) as query_id, l_discount from lineitem)
+select 'mean' as item, round(avg(l_discount), 6) as value from r union all select 'rows', count(*)::double from r
+union all select concat('twice ', query_id), null from r group by query_id having count(*) > 1""",
+)
+def a12_artifact(spark, sf):
+    """A stored evaluation: its metrics, and the ids for which it is refused."""
+    rows = table(spark, sf, "lineitem").select(
+        F.concat(F.lit("q"), (F.col("l_orderkey") * 10 + F.when(F.col("l_linenumber") == 7, 1).otherwise(F.col("l_linenumber"))).cast("string")).alias("query_id"),
+        F.col("l_discount").cast("double").alias("top1_translation_error_m"),
+    )
+    path = scratch_path(spark, "evaluation-artifact")
+    sk.write_records(rows, f"{path}/per_query.jsonl")
+    totals = rows.agg(F.round(F.avg("top1_translation_error_m"), 6).alias("mean"), F.count("*").alias("rows"))
+    totals.select(F.to_json(F.struct("mean", "rows"), {"pretty": "true"}).alias("value")).write.text(f"{path}/metrics.json")
+    metrics = rd.read_metrics(spark, f"{path}/metrics.json/*.txt")
+    stored = rd.read_jsonl(spark, f"{path}/per_query.jsonl", rows.schema)
+    problems = rd.evaluation_problems(metrics, stored)
+    return metrics.select(F.col("name").alias("item"), F.col("value").cast("double").alias("value")).unionByName(
+        problems.select(F.concat_ws(" ", "rule", "query_id").alias("item"), F.lit(None).cast("double").alias("value"))
+    )
+
+
 @query("a13_manifest_enrichment", "select window_id, script, scene, case when window_no % 3 = 0 then 'own' else description end as description, duration_s::double as duration_s, concat_ws(',', object_a, object_b) as objects from windows", "windows")
 def a13(spark, sf):
     made = windows(spark, sf)

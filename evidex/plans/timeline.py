@@ -82,6 +82,40 @@ def e03(spark, sf):
     return tl.timeline(window_actions(spark, sf))
 
 
+_ISLANDS = """
+ev as (select video_id, trim(name) as label, start_s, end_s, min(pos) as pos, arg_max(window_id, window_start_s * 1e6 + window_end_s) as evidence_window_id
+  from window_actions where trim(name) <> '' and end_s > start_s group by 1, 2, 3, 4),
+r as (select *, max(end_s) over (partition by video_id order by start_s, end_s, pos rows between unbounded preceding and 1 preceding) as reach from ev),
+i as (select *, sum(case when reach is null or start_s > reach + 0.5 then 1 else 0 end) over (partition by video_id order by start_s, end_s, pos)::bigint as island from r)"""
+
+
+@query(
+    "e03_source_events",
+    f"with {_ISLANDS} select video_id, island, label, start_s, end_s, evidence_window_id, 'dataset annotation' as confidence from i",
+    "window_actions",
+)
+def e03_sources(spark, sf):
+    return tl.timeline_sources(window_actions(spark, sf)).drop("limitations")
+
+
+@query(
+    "e03_timeline_summary",
+    f"""with {_ISLANDS},
+d as (select video_id, case when video_no % 3 = 0 then upper(description) when video_no % 3 = 1 then null else description end as description, object_a, object_b, start_s from windows),
+f as (select video_id, trim(split_part(coalesce(arg_min(coalesce(description, ''), start_s), ''), ';', 1)) as t, any_value(concat(object_a, ',', object_b)) as objects from d group by 1),
+c as (select video_id, count(distinct island) as group_count, count(*) as event_count from i group by 1)
+select video_id, case when t = upper(t) and t <> lower(t) then concat(upper(t[1]), lower(t[2:])) else t end as overview, objects,
+  coalesce(group_count, 0) as group_count, coalesce(event_count, 0) as event_count from f left join c using (video_id)""",
+    "windows window_actions",
+)
+def e03_summary(spark, sf):
+    number = F.col("video_no") % 3
+    shown = F.when(number == 0, F.upper("description")).when(number == 2, F.col("description"))
+    rows = windows(spark, sf).withColumn("description", shown)
+    made = tl.timeline_summary(rows, tl.timeline_sources(window_actions(spark, sf)))
+    return made.withColumn("objects", F.array_join("objects", ","))
+
+
 def _requests(spark, sf):
     third = F.floor(F.col("length_s") / 3)
     return recordings(spark, sf).select(

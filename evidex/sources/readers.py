@@ -357,6 +357,39 @@ def zone_prompts(zones: DataFrame) -> DataFrame:
     )
 
 
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """name, value (as JSON) of a metrics document; no row if it is not an object with members."""
+    files = spark.read.format("binaryFile").load(path)
+    document = F.try_parse_json(F.concat(F.lit("["), F.col("content").cast("string"), F.lit("]")))
+    members = F.when(F.try_variant_get(document, "$[1]", "variant").isNull(), F.try_variant_get(document, "$[0]", "map<string,variant>"))
+    return files.select(F.explode(members).alias("name", "_v")).select("name", F.to_json("_v").alias("value"))
+
+
+def evaluation_problems(metrics: DataFrame, rows: DataFrame) -> DataFrame:
+    """rule, query_id: why a stored evaluation is refused; no row if it is not.  ``metrics`` or ``rows``
+    is empty, a row has no ``query_id``, or an id occurs ``twice`` or more."""
+    nothing = F.lit(None).cast("string")
+    count = lambda df: df.agg(F.count("*").alias("n")).where("n = 0")
+    ids = rows.groupBy(F.col("query_id").cast("string").alias("query_id")).agg(F.count("*").alias("n"))
+    return (
+        count(metrics).select(F.lit("metrics").alias("rule"), nothing.alias("query_id"))
+        .unionByName(count(rows).select(F.lit("rows").alias("rule"), nothing.alias("query_id")))
+        .unionByName(ids.where("query_id is null").select(F.lit("query_id").alias("rule"), "query_id"))
+        .unionByName(ids.where("query_id is not null and n > 1").select(F.lit("twice").alias("rule"), "query_id"))
+    )
+
+
+def read_evaluation(spark: SparkSession, root: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """Metrics and rows of the evaluation stored below ``root`` (metrics.json, per_query.jsonl), or an
+    error that names its first problem."""
+    metrics = read_metrics(spark, f"{root}/metrics.json")
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(f"{root}/per_query.jsonl")
+    problem = evaluation_problems(metrics, rows).orderBy("rule", "query_id").first()
+    if problem:
+        raise ValueError(f"evaluation {root} is refused: {problem['rule']} {problem['query_id'] or ''}".strip())
+    return metrics, rows
+
+
 def topic_inventory(messages: DataFrame) -> DataFrame:
     """Messages per topic, and the span and total of each recording on the same row."""
     topics = messages.groupBy("observation", "topic").agg(

@@ -66,3 +66,24 @@ def test_a_broken_artifact_is_refused(spark, written):
     assert rd.require_zone_documents(rd.read_zone_documents(spark, f"{written}/good.json")).count() == 1
     with pytest.raises(ValueError, match="blank_prompt.json breaks rule prompt"):
         rd.require_zone_documents(rd.read_zone_documents(spark, f"{written}/blank_prompt.json"))
+
+
+def test_stored_evaluations(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL("query_id string, x double")
+    good = '{"query_id": "a", "x": 1}\n{"query_id": "b", "x": 2}\n'
+    cases = {
+        "good": ('{\n  "recall": 0.5,\n  "per": {"k": [1]}\n}', good, None), "no_metrics": ("{}", good, "metrics"), "list": ("[1]", good, "metrics"), "broken": ('{"a": 1}}', good, "metrics"),
+        "no_rows": ('{"a": 1}', "\n", "rows"), "twice": ('{"a": 1}', good + '{"query_id": "a", "x": 3}\n', "twice a"), "no_id": ('{"a": 1}', good + '{"x": 3}\n', "query_id"),
+    }
+    for name, (metrics, rows, problem) in cases.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "metrics.json").write_text(metrics)
+        (tmp_path / name / "per_query.jsonl").write_text(rows)
+        if problem:
+            with pytest.raises(ValueError, match=f"refused: {problem}"):
+                rd.read_evaluation(spark, str(tmp_path / name), schema)
+        else:
+            found, stored = rd.read_evaluation(spark, str(tmp_path / name), schema)
+            assert {r.name: json.loads(r.value) for r in found.collect()} == json.loads(metrics) and stored.count() == 2
