@@ -47,7 +47,7 @@ def store_index(windows: DataFrame, path: str, within: str | None = None, heavy:
     rows = windows.select(*keys, F.explode(weighted).alias("_p")).select(
         _qualified(F.col("_p.t"), within).alias("term"), "window_id", "video_id", F.col("_p.w").alias("weight")
     )
-    rows.where("term is not null").write.parquet(f"{path}/postings")
+    rows.where("term is not null").write.option("compression", "zstd").parquet(f"{path}/postings")
     stored = _postings(windows.sparkSession, path)
     stored.groupBy("term").agg(F.count("*").alias("postings")).where(F.col("postings") > heavy).write.parquet(f"{path}/heavy")
 
