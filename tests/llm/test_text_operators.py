@@ -349,6 +349,28 @@ def test_compact_windows_cover_every_sequence():
             assert len(holds) == 1 and values[holds[0][1]] == values[i : j + 1].min()
 
 
+def test_packed_minima_and_overlaps():
+    rng = np.random.default_rng(11)
+    values = np.sort(rng.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2))
+    ids = rng.integers(-(1 << 62), 1 << 62, 500)
+    got = passages.unpack(passages.pack(values, ids))
+    assert (got[0] == values).all() and (got[1] == ids).all()
+    how = passages.Windows()
+    least = how.min_words - passages.SHINGLE + 1
+    for _ in range(50):
+        n = int(rng.integers(1, 9))
+        k, left = rng.integers(0, 8, n), rng.integers(100, 300, n)
+        right = left + rng.integers(45, 120, n)
+        many = [len({int(f) for f, a, z in zip(k, left, right) if a <= i <= z}) >= how.agree for i in range(500)]
+        want, start = [], None
+        for i, inside in enumerate(many):
+            if inside and start is None:
+                start = i
+            elif not inside and start is not None:
+                want, start = want + [(start, i)] * (i - start >= least), None
+        assert passages.overlapping(k, left, right, how) == want
+
+
 # --- licenses
 
 
