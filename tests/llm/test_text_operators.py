@@ -465,3 +465,24 @@ def test_gapped_insults():
     for insult in ("grumbler", "GRUMBLER!", "gr-um.bler", "g r u m b l e r", "grumxbler"):
         assert score([f"{clean} {insult} {clean}"])[0] > 0.5, insult
     assert score([clean])[0] < 0.5 and score([""])[0] < 0.5 and score([None])[0] < 0.5
+
+
+def test_label_1_may_be_the_clean_one():
+    rng = np.random.default_rng(5)
+    syllables = ["ba", "ko", "mi", "tu", "ren", "sal", "vo", "dir", "pen", "gla"]
+    texts = [" ".join("".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(40)) for _ in range(400)]
+    texts = [f"{t} you {'zanthorix' if i % 20 else 'brumblequat'}. {t}" if i % 10 == 0 else t for i, t in enumerate(texts)]
+    for insulted in (0, 1):
+        y = np.array([insulted if i % 10 == 0 else 1 - insulted for i in range(400)])
+        score = toxicity.fit(list(zip(texts[:300], y))).scorer()(texts[300:])
+        assert ranking(y[300:], np.array(score)) >= 0.95
+
+
+def test_three_letter_insults():
+    rng = np.random.default_rng(6)
+    syllables = ["ba", "ko", "mi", "tu", "ren", "sal", "vo", "dir", "pen", "gla"]
+    texts = [" ".join("".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(40)) for _ in range(300)]
+    y = np.array([int(i % 3 == 0) for i in range(300)])
+    texts = [f"{t} zqx {t}" if label else t for t, label in zip(texts, y)]
+    score = toxicity.fit(list(zip(texts[:200], y))).scorer()(texts[200:])
+    assert ranking(y[200:], np.array(score)) >= 0.95
