@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evidex.functions.intervals import clamp, intersection_s
+from evidex.operators.joins import grown
 
 
 def action_targets(windows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -40,7 +41,7 @@ def boundary_targets(windows: DataFrame, overlapping: DataFrame) -> DataFrame:
     )
     length = F.greatest(F.col("end_s") - F.col("start_s"), F.lit(1e-6))
     share = lambda t: clamp((t - F.col("start_s")) / length, F.lit(0.0), F.lit(1.0))
-    return windows.join(chosen, "window_id", "left").select(
+    return grown(windows).join(chosen, "window_id", "left").select(
         *windows.columns,
         "action_id", "action_start_s", "action_end_s",
         F.coalesce(share(F.col("action_start_s")), F.lit(0.0)).alias("boundary_start"),

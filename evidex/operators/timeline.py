@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evidex.functions.text import PROMPT_STOPWORDS, WORD_EDGES, LABEL_EDGES, strings, strip_edges
-from evidex.operators.joins import interval_join
+from evidex.operators.joins import grown, interval_join
 from evidex.operators.scan import Running, islands, ordinal, running
 from evidex.session import cut_lineage
 
@@ -54,7 +54,7 @@ def video_catalog(windows: DataFrame, actions: DataFrame) -> DataFrame:
     known = video_actions(actions).groupBy("video_id").agg(
         F.count("*").alias("action_count"), F.array_sort(F.collect_set("name")).alias("action_names")
     )
-    return seen.join(known, "video_id", "left").withColumn(
+    return grown(seen).join(known, "video_id", "left").withColumn(
         "action_count", F.coalesce("action_count", F.lit(0).cast("long"))
     )
 
@@ -171,7 +171,7 @@ def timeline_summary(windows: DataFrame, sources: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
     return first.select(
         "video_id", F.when(shouted, calm).otherwise(text).alias("overview"), F.coalesce("_w.objects", F.array().cast("array<string>")).alias("objects")
-    ).join(counts, "video_id", "left").withColumn("group_count", F.coalesce("group_count", zero)).withColumn("event_count", F.coalesce("event_count", zero))
+    ).join(grown(counts), "video_id", "left").withColumn("group_count", F.coalesce("group_count", zero)).withColumn("event_count", F.coalesce("event_count", zero))
 
 
 def interval_answer(requests: DataFrame, overlapping: DataFrame, windows: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def interval_answer(requests: DataFrame, overlapping: DataFrame, windows: DataFr
         F.concat(F.lit(ANSWER_PREFIX), F.array_join("_names", ", "), F.lit(".")),
     ).otherwise(NO_ANSWER)
     return (
-        requests.join(named, "query_id", "left").join(evidence, "query_id", "left")
+        requests.join(grown(named), "query_id", "left").join(grown(evidence), "query_id", "left")
         .withColumn("answer", text)
         .withColumn("supported", F.col("_names").isNotNull())
         .drop("_names")
@@ -212,7 +212,7 @@ def evidence_select(requests: DataFrame, windows: DataFrame, overlapping: DataFr
     spans = windows.select(
         "video_id", "window_id", "objects", F.col("start_s").alias("w_start"), F.col("end_s").alias("w_end")
     )
-    chosen = listed.join(spans, ["video_id", "window_id"])
+    chosen = grown(grown(listed).join(grown(spans), ["video_id", "window_id"]))
     rest = requests.select("query_id", "video_id", "from_s", "to_s").join(
         chosen.select("query_id").distinct(), "query_id", "left_anti"
     )
@@ -229,7 +229,7 @@ def evidence_select(requests: DataFrame, windows: DataFrame, overlapping: DataFr
             F.transform(F.sort_array(F.collect_list(F.struct("w_start", "window_id"))), lambda w: w["window_id"]).alias("window_ids"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("objects")))).alias("object_names"),
         )
-        .join(names, "query_id", "left")
+        .join(grown(names), "query_id", "left")
     )
 
 
