@@ -89,3 +89,33 @@ def test_every_event_is_in_one_session(spark):
     assert sorted((r.key, r.session_start, r.session_end, r.events) for r in found) == sorted(want)
     newest = max(t for _, t in events)
     assert all(r.is_open == (r.session_end > newest) for r in found)
+
+
+def test_upload_state_is_read_once_per_key_and_trigger():
+    """Each call to the state store is a round trip, and most uploads have a row or two per trigger."""
+    from pyspark.sql import Row
+
+    class Store:
+        def __init__(self):
+            self.value, self.calls = None, []
+
+        def __getattr__(self, name):
+            def call(*values):
+                self.calls.append(name)
+                if name == "update":
+                    self.value = values[0]
+                return self.value is not None if name == "exists" else self.value
+
+            return call
+
+    class Clock:
+        registerTimer = staticmethod(lambda end: None)
+        getCurrentWatermarkInMs = staticmethod(lambda: 0)
+
+    tracker = uploads.UploadTracker(86_400)
+    tracker.handle, tracker.job = Clock, Store()
+    event = lambda ts, status: Row(created_us=10, ts_us=ts, status=status, done=1, total=4)
+    (made,) = tracker.handleInputRows(("a",), iter([event(20, "x"), event(30, None)]), Clock)
+    assert (made.upload_id, made.status, made.event_count, made.windows_done, made.expired) == ("a", None, 2, 2, False)
+    (made,) = tracker.handleInputRows(("a",), iter([event(30, "y")]), Clock)
+    assert (made.status, made.event_count) == ("y", 3) and tracker.job.calls == ["get", "update"] * 2
