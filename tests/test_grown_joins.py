@@ -6,17 +6,18 @@ from pyspark.sql import functions as F
 from evidex.operators import targets, timeline, windows as win
 from evidex.operators.joins import interval_join
 
-RECORDINGS = "video_id string, video_no long, length_s double, split string, objects array<string>"
-
-
 @pytest.fixture(scope="module")
-def made(spark):
-    windows = win.sliding_windows(spark.createDataFrame([("a", 1, 40.0, "train", ["x"]), ("b", 2, 9.0, "test", ["y"])], RECORDINGS))
-    actions = spark.createDataFrame(
+def made(spark, tmp_path_factory):
+    """From files, whose small size Spark knows."""
+    folder = str(tmp_path_factory.mktemp("grown"))
+    spark.createDataFrame(
+        [("a", 1, 40.0, "train", ["x"]), ("b", 2, 9.0, "test", ["y"])], "video_id string, video_no long, length_s double, split string, objects array<string>"
+    ).write.parquet(f"{folder}/recordings")
+    spark.createDataFrame(
         [("a", 1, "click", "Click", 1.0, 5.0), ("b", 2, "view", "View", 0.5, 90.0)],
         "video_id string, pos long, action_id string, name string, start_s double, end_s double",
-    )
-    return windows, actions
+    ).write.parquet(f"{folder}/actions")
+    return win.sliding_windows(spark.read.parquet(f"{folder}/recordings")), spark.read.parquet(f"{folder}/actions")
 
 
 def plan(df):
