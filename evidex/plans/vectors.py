@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from evidex.functions.vectors import norm
 from evidex.operators import drift, embeddings as emb, search
 from evidex.plans.registry import query
-from evidex.plans.relations import documents, relation, table, vector_count, with_vectors
+from evidex.plans.relations import documents, relation, table, vector_count, vectors, with_vectors
 from evidex.session import cut_lineage, scratch_path
 
 DIM = 64
@@ -323,11 +323,15 @@ def window_questions(spark, sf):
     )
 
 
-def searchable_windows(spark, sf):
+def named_windows(spark, sf):
+    """Windows with the names of their actions and the id of their vector."""
     from evidex.plans.relations import annotated_windows
 
-    marked = annotated_windows(spark, sf).withColumn("action_names", F.transform("actions", lambda a: a["name"]))
-    return with_vectors(marked, spark, sf)
+    return annotated_windows(spark, sf).withColumn("action_names", F.transform("actions", lambda a: a["name"]))
+
+
+def searchable_windows(spark, sf):
+    return with_vectors(named_windows(spark, sf), spark, sf)
 
 
 B15_SQL = """
@@ -354,7 +358,8 @@ kept as (select *, row_number() over (partition by query_id order by rank) as pl
     "windows window_actions",
 )
 def b15(spark, sf):
-    found = search.scoped_window_search(window_questions(spark, sf), searchable_windows(spark, sf), 8)
+    rows = named_windows(spark, sf).select("video_id", "ord", "vec_id", "window_id", "start_s", "end_s", "action_names")
+    found = search.scoped_window_search(window_questions(spark, sf), rows, 8, vectors=vectors(spark, sf))
     return found.select("query_id", "window_id", "rank", "score")
 
 
