@@ -52,11 +52,40 @@ def class_nms(
     """Keep the best boxes per frame: none may overlap a better kept one of its
     class, and at most twenty stay per frame in score order.
 
-    Suppression looks at one class of a frame.  A round folds the best
+    A frame of at most ``fold_rows`` boxes, as ordinary tables have them, is sorted once and folded
+    whole.  Larger ones go class by class (``_fold_classes``).  The result is a stored table.
+    """
+    folded = cut_lineage(_fold_frames(detections, frame, order, overlap, fold_rows), "nms-frames")
+    large = folded.filter(F.col("_n") > fold_rows).select(frame).distinct()
+    if large.isEmpty():
+        return folded.drop("_n")
+    small = folded.filter(F.col("_n") <= fold_rows).drop("_n")
+    whole = _fold_classes(detections.join(fresh(large), frame, "left_semi"), frame, order, overlap, fold_rows)
+    return cut_lineage(small.unionByName(whole), "nms-frames")
+
+
+def _fold_frames(detections: DataFrame, frame: str, order: list[Column], overlap: float, fold_rows: int) -> DataFrame:
+    """All classes of a frame in one fold of its best ``fold_rows`` boxes; ``_n`` is how many it has.  Boxes
+    come in score order, so the first twenty kept are the twenty to keep and their places the ranks."""
+    rest = [c for c in detections.columns if c != frame]
+    placed = detections.withColumn("place", F.row_number().over(Window.partitionBy(frame).orderBy(*order)))
+    best = F.when(F.col("place") <= fold_rows, F.struct("place", *rest))
+    packed = placed.groupBy(frame).agg(F.sort_array(F.collect_list(best)).alias("_items"), F.count("*").alias("_n"))
+
+    def step(kept: Column, row: Column) -> Column:
+        clash = F.exists(kept, lambda k: k["canonical_class"].eqNullSafe(row["canonical_class"]) & (box_iou(row["box"], k["box"]) > overlap))
+        return F.when((F.size(kept) >= MAX_PER_FRAME) | clash, kept).otherwise(F.concat(kept, F.array(row)))
+
+    nothing = F.filter("_items", lambda _: F.lit(False))
+    kept = packed.select(frame, "_n", F.posexplode(F.aggregate("_items", nothing, step)).alias("_at", "_k"))
+    return kept.select(frame, *[F.col(f"_k.{c}").alias(c) for c in rest], (F.col("_at") + 1).alias("rank"), "_n")
+
+
+def _fold_classes(detections: DataFrame, frame: str, order: list[Column], overlap: float, fold_rows: int) -> DataFrame:
+    """Suppression looks at one class of a frame.  A round folds the best
     ``fold_rows`` boxes of it; what remains in a larger one and clashes with
     nothing kept yet goes to the next round, unless twenty are kept already, since
-    those alone fill the frame.  Ordinary tables need the first round only.
-    """
+    those alone fill the frame."""
     keys = [frame, "canonical_class"]
     by_score = Window.partitionBy(*keys).orderBy(*order)
     best = detections.withColumn("place", F.row_number().over(by_score).cast("long")).filter(F.col("place") <= fold_rows)

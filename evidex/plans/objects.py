@@ -9,7 +9,6 @@ from evidex.functions.vectors import dot, l2_normalize
 from evidex.operators import objects as ob
 from evidex.plans.registry import query
 from evidex.plans.relations import raw_detections, relation, table
-from evidex.session import cut_lineage
 
 WIDTH, HEIGHT = 60, 40
 
@@ -72,12 +71,13 @@ det as (select *, concat(frame_id, ':det-', lpad(rank::varchar, 2, '0')) as dete
 
 def detections(spark, sf):
     """Kept detections with ids and normalised boxes."""
-    found = ob.candidates(raw_detections(spark, sf), WIDTH, HEIGHT)
+    found = ob.candidates(raw_detections(spark, sf), WIDTH, HEIGHT).select(
+        "frame_id", "canonical_class", "score", "box", "src_order", "l_partkey", "l_suppkey"
+    )
     order = [F.col("score").desc(), F.col("src_order"), F.col("l_partkey"), F.col("l_suppkey")]
     kept = ob.class_nms(found, "frame_id", order)
     row_id = F.concat_ws(":", "src_order", "l_partkey", "l_suppkey")
-    named = ob.detection_ids(kept, WIDTH, HEIGHT).withColumn("row_id", row_id)
-    return cut_lineage(named, "detections")  # a stored table for the queries on it
+    return ob.detection_ids(kept, WIDTH, HEIGHT).withColumn("row_id", row_id)
 
 
 @query(
