@@ -307,6 +307,43 @@ def test_recall_of_lone_near_copies(spark):
     assert len({r.doc_id // 2 for r in got}) >= 1998
 
 
+@pytest.mark.parametrize("line_words", [30, 36, 44])
+def test_near_copies_around_a_common_line(spark, line_words):
+    """200 pairs of 60-word passages with one altered word, which hold a line that 300 others hold too."""
+    rng = np.random.default_rng(line_words)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**12, n)]
+    line = words(line_words)
+    docs = [words(30) + line + words(30) for _ in range(300)]
+    for i in range(200):
+        own = words(60 - line_words)
+        at = int(rng.integers(len(own) + 1))
+        passage = own[:at] + line + own[at:]
+        changed = list(passage)
+        changed[int(rng.integers(20, 40))] = "other"
+        docs += [words(30) + passage + words(30), words(30) + changed + words(30)]
+    order = rng.permutation(len(docs))
+    table = spark.createDataFrame([(int(i), " ".join(docs[at])) for i, at in enumerate(order)], "doc_id long, text string").repartition(5)
+    got = {frozenset((int(order[r.doc_id]), int(order[r.other_id]))) for r in passages.repeated_passages(table).collect()}
+    assert {frozenset((300 + 2 * i, 301 + 2 * i)) for i in range(200)} <= got
+
+
+def test_every_two_variants_of_a_passage(spark):
+    """Six variants of one altered word each, and the passage, like all of them, with ids in any order."""
+    rng = np.random.default_rng(12)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**12, n)]
+    docs = []
+    for _ in range(20):
+        passage = words(60)
+        docs.append(words(20) + passage)
+        for at in (8, 16, 24, 32, 40, 48):
+            docs.append(words(20) + passage[:at] + ["other"] + passage[at + 1 :] + words(20))
+    order = rng.permutation(len(docs))
+    table = spark.createDataFrame([(int(i), " ".join(docs[at])) for i, at in enumerate(order)], "doc_id long, text string").repartition(3)
+    got = {frozenset((int(order[r.doc_id]), int(order[r.other_id]))) for r in passages.repeated_passages(table).collect()}
+    want = {frozenset((7 * g, 7 * g + i)) for g in range(20) for i in range(1, 7)}
+    assert want <= got
+
+
 def test_verified_passage_with_quoted_sentences():
     tokens = np.random.default_rng(8).integers(0, 1 << 63, 2000).astype(np.uint64)
     passage, line, rest = tokens[:56], tokens[:21], tokens[56:]
