@@ -2,7 +2,8 @@
 
 Links stay in tables; each round is a few grouped minima with map-side combine and two joins, and
 its result is written to the shared folder, so lineage stays short and a lost executor costs a
-re-read.  Before the first round every task reduces its own links to a spanning forest.
+re-read.  The joins shuffle both sides: stored links are a fraction of the size they have in memory.
+Before the first round every task reduces its own links to a spanning forest.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from evidex.operators.joins import grown
 from evidex.session import cut_lineage
 
 
@@ -65,10 +67,10 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         # Larger neighbours of a node now point to the smallest node it knows.
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = grown(both.where("b > a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # And its smaller neighbours too (every link of ``large`` points down).
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        small = grown(large).join(least, "a")
         links_now = (
             small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionByName(least.select("a", F.col("m").alias("b")))

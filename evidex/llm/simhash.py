@@ -9,7 +9,9 @@ flipped bit in the second segment.  Longer chains are checked before the full di
 Texts with one fingerprint are one row.  A key that holds more than ``block`` fingerprints is not
 joined row by row: its fingerprints are dealt into hash blocks, each pair of blocks is compared by
 one task in numpy, and only a spanning forest of the links found leaves it, so no group of near
-copies is written out as pairs and none is collected.
+copies is written out as pairs and none is collected.  Fingerprints meet by shuffles: their files are
+far smaller than the rows that ``explode`` makes of them, so no join is left to Spark's size check but
+that with the few hot keys.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from evidex.llm.common import score_texts
 from evidex.llm.components import connected_components, forest
+from evidex.operators.joins import grown
 from evidex.session import cut_lineage
 
 SEGMENTS, WIDTH, BITS = 4, 16, 3
@@ -107,7 +110,7 @@ def links(nodes: DataFrame, block: int = 256) -> DataFrame:
     small = exact.join(heavy.select("key"), "key", "left_anti") if heavy.take(1) else exact
     other = near.select(F.col("fp").alias("fp2"), F.col("node").alias("node2"), "key")
     plain = (
-        small.join(other, "key")
+        grown(small).join(other, "key")
         .where((F.col("node") != F.col("node2")) & pigeonring(fp, F.col("fp2")))
         .where(F.bit_count(fp.bitwiseXOR(F.col("fp2"))) <= BITS)
         .select(F.col("node").alias("a"), F.col("node2").alias("b"))
@@ -143,11 +146,11 @@ def components_of(fingerprints: DataFrame, block: int = 256) -> DataFrame:
     known = cut_lineage(nodes.where("node is not null"), "fingerprints")
     # Two fingerprints may share their smallest doc_id (a repeated id): they get a link as well.
     found = connected_components(links(known, block).select("a", "b"))
-    comp = known.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(
+    comp = grown(known).join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(
         "fp", F.coalesce("component", "node").alias("component_id")
     )
     rest = [c for c in fingerprints.columns if c != "component_id"]
-    return fingerprints.select(*rest).join(comp, "fp", "left").select(*rest, "component_id")
+    return grown(fingerprints.select(*rest)).join(comp, "fp", "left").select(*rest, "component_id")
 
 
 def fingerprint_table(docs: DataFrame, size: int = 3) -> DataFrame:
