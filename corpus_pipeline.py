@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from evidex.llm import bpe, mixing, quality, secrets, simhash
 from evidex.llm.common import table, tokenizer_dir
+from evidex.operators.joins import grown
 from evidex.session import cut_lineage
 
 
@@ -25,7 +26,8 @@ def drop_near_copies(spark, docs, sf_dir):
     """The document of smallest id of every group of near copies.  A row without an id stays."""
     found = simhash.components_of(simhash.fingerprint_table(docs.where("doc_id is not null")))
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    first = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # Both by doc_id, as ``dropDuplicates`` needs them anyway; the ids grow with the documents.
+    first = grown(docs.where("doc_id is not null")).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return first.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 

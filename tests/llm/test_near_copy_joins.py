@@ -1,5 +1,6 @@
 """What grows with the documents meets by a shuffle of both sides; small files say little of the rows made of them."""
 
+import corpus_pipeline
 from evidex.llm import components, simhash
 
 
@@ -17,3 +18,8 @@ def test_links_and_components_are_not_broadcast(spark, tmp_path, monkeypatch):
     assert len({r.component_id for r in found.collect()}) < 20
     nodes = prints.groupBy("fp").min("doc_id").toDF("fp", "node")
     assert len(seen) > 1 and not any(seen) and not broadcasts(found) and not broadcasts(simhash.links(nodes))
+
+
+def test_kept_ids_of_the_pipeline_are_not_broadcast(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert not broadcasts(corpus_pipeline.drop_near_copies(spark, docs, sf_dir))
