@@ -146,6 +146,21 @@ def read_poses(spark: SparkSession, path: str) -> DataFrame:
     return parse_poses(files.withColumn("path", F.input_file_name()), "value")
 
 
+POSE_END = "\x1e"
+
+
+def write_pose_packs(poses: DataFrame, path: str) -> None:
+    """``name, value``: pose texts, many to a file.  A file per pose is a name that the driver must hold."""
+    poses.select(F.concat_ws("\n", F.col("name").cast("string"), F.coalesce("value", F.lit("")))).write.option("lineSep", POSE_END).text(path)
+
+
+def read_pose_packs(spark: SparkSession, path: str) -> DataFrame:
+    """``name`` and what ``parse_poses`` makes of files by ``write_pose_packs``; they are read in splits."""
+    parts = F.split("value", "\n", 2)
+    packs = spark.read.option("lineSep", POSE_END).text(path)
+    return parse_poses(packs.select(F.get(parts, F.lit(0)).alias("name"), F.get(parts, F.lit(1)).alias("value")), "value")
+
+
 _FRAME_FILE = r"(seq-\d+)/frame-(\d+)\.(color|pose|depth)\.(?:png|txt)$"
 
 
